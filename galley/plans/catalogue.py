@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import records
+
+QUERIES: dict = {**records.QUERIES}
+SQL: dict[str, str] = {**records.SQL}
