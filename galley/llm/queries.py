@@ -5,8 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import nested
+from ..plans import records as stored
 from ..session import table, written
-from . import encode, packing, quality
+from . import encode, packing, quality, splits, unify
+
+
+def _record_groups(spark: SparkSession, d: str) -> DataFrame:
+    return splits.record_groups(table(spark, d, "clipped_notation"), table(spark, d, "classic"), table(spark, d, "books"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return splits.spread_groups(_record_groups(spark, d))
+
+
+def p3_splits(spark: SparkSession, d: str) -> DataFrame:
+    return splits.assign(_record_groups(spark, d), table(spark, d, "split_plan"))
+
+
+def _values(spark: SparkSession, d: str) -> DataFrame:
+    """(src, word_id, record_no, field, value) of every non-NULL value."""
+    raw, kind = stored.words(spark, d, {"original_word", "replacement"})
+    flat = nested.shared_inline(nested.word_records(raw, kind, once=False), "word_id", "words", stored.NUMBERS)["records"]
+    of_records = flat.select(F.lit("bold_source_words").alias("src"), "word_id", "record_no", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in ("original_word", "replacement")))).alias("x")).select("src", "word_id", "record_no", "x.field", "x.value")
+    rescaled = table(spark, d, "rescaled_source_word").select(F.lit("rescaled_source_word").alias("src"), "word_id", F.lit(0).alias("record_no"), F.lit("original_word").alias("field"), F.col("original_word").alias("value"))
+    return of_records.unionByName(rescaled).where("value is not null")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Only values that fail the quick check are brought to the consistent form; those it changes are found."""
+    odd = _values(spark, d).where(unify.needs_form(F.col("value")))
+    return unify.with_form(odd, "value").where("form <> value").select("src", "word_id", "record_no", "field").distinct()
+
+
+def p5_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Every value with its one consistent form."""
+    return unify.with_form(_values(spark, d).distinct(), "value")
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -43,5 +77,5 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_stats(spark, d).where(F.col("kind") != "prose").select("doc_id", "kind")
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p7_pack": p7_pack, "p8_found": p8_found, "p8_stats": p8_stats}
+QUERIES = {"p3_found": p3_found, "p3_splits": p3_splits, "p5_found": p5_found, "p5_forms": p5_forms, "p6_ids": p6_ids, "p7_found": p7_found, "p7_pack": p7_pack, "p8_found": p8_found, "p8_stats": p8_stats}
 SQL: dict[str, str] = {}
