@@ -8,7 +8,26 @@ from pyspark.sql import functions as F
 from ..operators import nested
 from ..plans import records as stored
 from ..session import table, written
-from . import encode, packing, quality, splits, unify
+from . import bookkeys, encode, overlap, packing, quality, splits, unify
+
+
+def _overlaps(spark: SparkSession, d: str) -> DataFrame:
+    clips = table(spark, d, "clipped_notation").select(F.col("clip_id").alias("id"), "split", "bit_rows", "dpi")
+    templates = table(spark, d, "coordinates").select(F.col("template_id").alias("id"), "split", "bitmap")
+    return overlap.picture_overlaps(clips).select(F.lit("clipped_notation").alias("src"), "a", "b", "similarity").unionByName(overlap.template_overlaps(templates).select(F.lit("coordinates").alias("src"), "a", "b", "similarity"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _overlaps(spark, d).select("src", F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
+
+
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per table, split and book of the record outside train: its records that overlap train, and the pairs."""
+    found = written(_overlaps(spark, d), "overlaps")
+    rows = table(spark, d, "clipped_notation").select(F.lit("clipped_notation").alias("src"), F.col("clip_id").alias("b"), "split", "book").unionByName(table(spark, d, "coordinates").select(F.lit("coordinates").alias("src"), F.col("template_id").alias("b"), "split", F.col("source.book").alias("book"))).distinct()
+    names = bookkeys.resolve(rows, table(spark, d, "books"))
+    hit = found.join(rows, ["src", "b"]).join(names, "book", "left")
+    return hit.groupBy("src", "split", F.coalesce("book_id", F.lit("unknown")).alias("book_id")).agg(F.count("*").alias("pairs"), F.countDistinct("b").alias("records"), F.countDistinct("a").alias("train_records"))
 
 
 def _record_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -77,5 +96,5 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_stats(spark, d).where(F.col("kind") != "prose").select("doc_id", "kind")
 
 
-QUERIES = {"p3_found": p3_found, "p3_splits": p3_splits, "p5_found": p5_found, "p5_forms": p5_forms, "p6_ids": p6_ids, "p7_found": p7_found, "p7_pack": p7_pack, "p8_found": p8_found, "p8_stats": p8_stats}
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_splits": p3_splits, "p5_found": p5_found, "p5_forms": p5_forms, "p6_ids": p6_ids, "p7_found": p7_found, "p7_pack": p7_pack, "p8_found": p8_found, "p8_stats": p8_stats}
 SQL: dict[str, str] = {}
