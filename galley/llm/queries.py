@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import nested
 from ..plans import records as stored
 from ..session import table, written
-from . import bookkeys, encode, overlap, packing, quality, splits, unify
+from . import bookkeys, encode, overlap, packing, quality, scannoise, splits, unify
 
 
 def _overlaps(spark: SparkSession, d: str) -> DataFrame:
@@ -42,6 +42,31 @@ def p3_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.assign(_record_groups(spark, d), table(spark, d, "split_plan"))
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """The scanned texts with the names that may stand in their book's running heads."""
+    notes = table(spark, d, "joined_notation").select("note_id", "book", "source_page", "raw").where("raw is not null")
+    books = table(spark, d, "books")
+    ids = bookkeys.resolve(notes, books)
+    stem = F.regexp_replace(F.regexp_replace("path", r"\.[a-z]+$", ""), r"(?i)_vol_[0-9]+$|^scan[0-9]+_", "")
+    name = F.array_distinct(F.concat(
+        F.when(F.trim("title") != "", F.array(F.lower(F.trim("title")))).otherwise(F.array().cast("array<string>")),
+        F.flatten(F.transform(F.split(F.coalesce("author", F.lit("")), r"\s*[;&]\s*"), lambda a: F.transform(F.filter(F.split(F.lower(a), r"[^\p{L}]+"), lambda w: F.length(w) > 3), lambda w: w))),
+        F.array(F.lower(F.element_at(F.split(stem, "_"), 1)), F.lower(F.translate(F.regexp_replace(stem, "^[^_]*_", ""), "_", " "))),
+    ))
+    names = ids.join(books.select("book_id", name.alias("names")), "book_id").select("book", "names")
+    of_notes = notes.join(names, "book", "left").select(F.lit("joined_notation").alias("src"), F.col("note_id").alias("rec_id"), F.col("raw").alias("text"), F.coalesce("names", F.array().cast("array<string>")).alias("names"), F.col("source_page").cast("int").alias("page"))
+    of_words = table(spark, d, "bold_source_words").where("text is not null").select(F.lit("bold_source_words").alias("src"), F.col("word_id").alias("rec_id"), "text", F.array().cast("array<string>").alias("names"), F.lit(None).cast("int").alias("page"))
+    return of_notes.unionByName(of_words)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return scannoise.faults(_texts(spark, d)).distinct()
+
+
+def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scannoise.repair(_texts(spark, d)).distinct()
+
+
 def _values(spark: SparkSession, d: str) -> DataFrame:
     """(src, word_id, record_no, field, value) of every non-NULL value."""
     raw, kind = stored.words(spark, d, {"original_word", "replacement"})
@@ -96,5 +121,5 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_stats(spark, d).where(F.col("kind") != "prose").select("doc_id", "kind")
 
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_splits": p3_splits, "p5_found": p5_found, "p5_forms": p5_forms, "p6_ids": p6_ids, "p7_found": p7_found, "p7_pack": p7_pack, "p8_found": p8_found, "p8_stats": p8_stats}
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_splits": p3_splits, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p5_forms": p5_forms, "p6_ids": p6_ids, "p7_found": p7_found, "p7_pack": p7_pack, "p8_found": p8_found, "p8_stats": p8_stats}
 SQL: dict[str, str] = {}
