@@ -53,7 +53,9 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
         F.flatten(F.transform(F.split(F.coalesce("author", F.lit("")), r"\s*[;&]\s*"), lambda a: F.transform(F.filter(F.split(F.lower(a), r"[^\p{L}]+"), lambda w: F.length(w) > 3), lambda w: w))),
         F.array(F.lower(F.element_at(F.split(stem, "_"), 1)), F.lower(F.translate(F.regexp_replace(stem, "^[^_]*_", ""), "_", " "))),
     ))
-    names = ids.join(books.select("book_id", name.alias("names")), "book_id").select("book", "names")
+    # a scan filed under two paths has the names of both
+    own = books.select("book_id", F.coalesce("sha256", "book_id").alias("file"), name.alias("names"))
+    names = ids.join(own.select("book_id", "file"), "book_id").join(own.groupBy("file").agg(F.array_distinct(F.flatten(F.collect_list("names"))).alias("names")), "file").select("book", "names")
     of_notes = notes.join(names, "book", "left").select(F.lit("joined_notation").alias("src"), F.col("note_id").alias("rec_id"), F.col("raw").alias("text"), F.coalesce("names", F.array().cast("array<string>")).alias("names"), F.col("source_page").cast("int").alias("page"))
     of_words = table(spark, d, "bold_source_words").where("text is not null").select(F.lit("bold_source_words").alias("src"), F.col("word_id").alias("rec_id"), "text", F.array().cast("array<string>").alias("names"), F.lit(None).cast("int").alias("page"))
     return of_notes.unionByName(of_words)
