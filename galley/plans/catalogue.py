@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import records
+from . import records, relational, text
 
-QUERIES: dict = {**records.QUERIES}
-SQL: dict[str, str] = {**records.SQL}
+QUERIES: dict = {**records.QUERIES, **text.QUERIES, **relational.QUERIES}
+SQL: dict[str, str] = {**records.SQL, **text.SQL, **relational.SQL}
