@@ -1,0 +1,467 @@
+"""Games out of a book's tokens: a fold over each book (or each numbered section of it) with a stack of lines.
+
+Tokens come as rows (keys..., tok, kind, number, black, text, page, line, readings).  Later tokens may change earlier
+moves, so rows leave the fold only at its end.  A reading that is not certain is not played: the game stops there, the
+gap is told as an issue, and what follows up to the next game stays out.
+"""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass, field
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import moves as R
+from ..functions.chess import START, Move, Position
+from ..functions.notation import DASHES, EVALUATIONS, NAGS, RESULTS
+from ..session import ship
+
+MIN_PLIES, IDLE, HORIZON, BACK = 6, 400, 24, 10
+ISSUE_INFO = {"excluded_tail", "game_number_recovered", "diagram_setup", "move_corrected"}
+WHITE_LOST = re.compile(r"^(?:белые|white|weiß)$", re.I)
+BLACK_LOST = re.compile(r"^(?:черные|чёрные|black|schwarz)$", re.I)
+RESIGN = re.compile(r"^(?:сдались|сдаются|сдался|сдалась|resigns?|resigned|aufgegeben)[.!]?$", re.I)
+DRAWN = re.compile(r"^(?:ничья|draw|remis)[.!]?$", re.I)
+OUT = "kind string, game_id int, headers map<string,string>, start_fen string, result string, status string, path array<int>, ply int, uci string, san string, nags array<int>, comment string, starting_comment string, code string, severity string, message string, tok bigint, page int"
+
+
+@dataclass
+class Node:
+    move: Move | None
+    parent: Node | None
+    at: Position  # the position after the move
+    san: str = ""
+    tok: int = -1
+    page: int = 0
+    word: str = ""
+    guessed: bool = False
+    nags: list[int] = field(default_factory=list)
+    comment: str = ""
+    before: str = ""
+    children: list[Node] = field(default_factory=list)
+
+    def path(self) -> list[int]:
+        out, n = [], self
+        while n.parent is not None:
+            out.append(next(i for i, c in enumerate(n.parent.children) if c is n))
+            n = n.parent
+        return out[::-1]
+
+
+@dataclass
+class Line:
+    last: Node
+    explicit: bool = True
+    expect: bool = False
+    broken: bool = False
+    text: list[str] = field(default_factory=list)
+
+
+class Fold:
+    """One pass over the tokens of a book."""
+
+    def __init__(self, tokens: list[dict], langs: list[str], scanned: bool):
+        self.t, self.langs, self.scanned = tokens, langs, scanned
+        self.rows: list[dict] = []
+        self.games = 0
+        self.root: Node | None = None
+        self.lines: list[Line] = []
+        self.idle = 0
+        self.stopped = False
+        self.number: int | None = None
+        self.heading: list[str] = []
+        self.names: tuple[str, str] | None = None
+
+    # -- output
+
+    def issue(self, code: str, i: int, message: str, severity: str = "warning") -> None:
+        t = self.t[min(i, len(self.t) - 1)]
+        self.rows.append({"kind": "issue", "game_id": self.games if self.root else None, "code": code, "severity": "info" if code in ISSUE_INFO else severity, "message": message, "tok": t["tok"], "page": t["page"]})
+
+    def start(self, p: Position) -> None:
+        self.games += 1
+        self.root = Node(None, None, p)
+        self.lines = [Line(self.root)]
+        self.idle, self.stopped = 0, False
+
+    def plies(self) -> int:
+        n, k = self.root, 0
+        while n.children:
+            n, k = n.children[0], k + 1
+        return k
+
+    def close(self, result: str | None, i: int) -> None:
+        if self.root is None:
+            return
+        self._flush()
+        end = self.root
+        while end.children:
+            end = end.children[0]
+        plies, own = self.plies(), self.root.at.fen() != START
+        if plies >= MIN_PLIES or plies >= 1 and (self.stopped or own or self.number is not None or result is not None):
+            if result is None and end.at.mate():
+                result = "0-1" if end.at.white else "1-0"
+            headers = {"Result": "*" if self.stopped else result or "*"}
+            if self.stopped and result:
+                headers["SourceResult"] = result
+            if self.number is not None:
+                headers["BookGame"] = str(self.number)
+            if self.names:
+                headers |= {"White": self.names[0], "Black": self.names[1]}
+            if own:
+                headers |= {"FEN": self.root.at.fen(), "SetUp": "1"}
+            if result is None and not self.stopped:
+                self.issue("unknown_result", i, "no result is printed")
+            self.rows.append({"kind": "game", "game_id": self.games, "headers": headers, "start_fen": self.root.at.fen(), "result": headers["Result"], "status": "incomplete" if self.stopped else "complete", "comment": self.root.comment})
+            self._emit(self.root)
+        elif plies:
+            self.issue("short_fragment", i, f"{plies} plies are too few for a game")
+            self.games -= 1
+        else:
+            self.games -= 1
+        self.root, self.lines, self.stopped, self.names = None, [], False, None
+
+    def _emit(self, node: Node) -> None:
+        todo = [(node, [])]
+        while todo:
+            n, path = todo.pop()
+            for k, c in enumerate(n.children):
+                todo.append((c, [*path, k]))
+                self.rows.append({"kind": "move", "game_id": self.games, "path": [*path, k], "ply": c.at.ply(), "uci": c.move.uci(), "san": c.san, "nags": sorted(c.nags), "comment": c.comment, "starting_comment": c.before, "tok": c.tok, "page": c.page})
+                if c.guessed:
+                    self.rows.append({"kind": "issue", "game_id": self.games, "code": "move_corrected", "severity": "info", "message": f"{c.word} read as {c.san}", "tok": c.tok, "page": c.page})
+
+    def _flush(self) -> None:
+        for ln in self.lines:
+            if ln.text:
+                note = " ".join(ln.text)
+                ln.last.comment = f"{ln.last.comment} {note}".strip()
+                ln.text = []
+
+    # -- reading
+
+    def words(self, i: int) -> list[str]:
+        t = self.t[i]
+        more = t.get("readings")
+        return [t["text"], *(x for x in (more if more is not None else []) if x)]
+
+    def read(self, p: Position, i: int, exact: bool = False) -> tuple[Move | None, list[int], bool]:
+        """A move, its marks and whether it was a guess; exact readings of any witness come before near ones, and
+        witnesses that disagree decide nothing."""
+        legal = p.legal()
+        found = {}
+        for w in self.words(i):
+            m, nags = R.read_exact(p, w, self.langs, legal)
+            if m:
+                found.setdefault(m, nags)
+        if len(found) == 1:
+            return *next(iter(found.items())), False
+        if found or exact or not self.scanned:
+            return None, [], False
+        near = {m for w in self.words(i) if (m := R.closest(p, w, self.langs, legal))}
+        return (near.pop(), [], True) if len(near) == 1 else (None, [], False)
+
+    def fit(self, p: Position, i: int, limit: int = HORIZON) -> int:
+        """How many of the next printed moves can be played from ``p``."""
+        n, depth, k = 0, 0, i
+        while k < len(self.t) and n < limit and k < i + limit * 8:
+            t = self.t[k]
+            k += 1
+            if t["kind"] in ("boundary", "end", "result", "fen"):
+                break
+            depth += (t["kind"] == "open") - (t["kind"] == "close")
+            if depth > 0 or t["kind"] != "word" or R.code_of(t["text"]) is None or self._is_prose(t["text"]):
+                continue
+            m, _, _ = self.read(p, k - 1)
+            if m is None:
+                break
+            p = p.after(m)
+            n += 1
+        return n
+
+    @staticmethod
+    def _is_prose(w: str) -> bool:
+        return bool(re.search(r"[a-zа-яё]{4,}", w))
+
+    def repair(self, p: Position, i: int) -> Move | None:
+        """The legal move after which most of the following printed moves fit, if it is near the word and alone ahead."""
+        options = {}
+        for w in self.words(i):
+            for d, m in R.candidates(p, w, self.langs, p.legal(), 6):
+                options[m] = min(d, options.get(m, 9.0))
+        ranked = sorted(((self.fit(p.after(m), i + 1, 10), -d) for m, d in options.items()), reverse=True)
+        if not ranked or ranked[0][0] < 2 or len(ranked) > 1 and ranked[0][0] - ranked[1][0] < 2:
+            return None
+        return next(m for m, d in options.items() if (self.fit(p.after(m), i + 1, 10), -d) == ranked[0])
+
+    def backtrack(self, ln: Line, i: int) -> bool:
+        """Another reading of one of the last moves that were guesses, under which everything since and this word fit."""
+        chain, n = [], ln.last
+        while n.parent is not None and len(chain) < BACK:
+            chain.append(n)
+            n = n.parent
+        for k, node in enumerate(chain):
+            if not node.guessed or any(c.children[1:] for c in chain[: k + 1]):
+                continue
+            base = node.parent.at
+            later = list(reversed(chain[:k]))
+            for _, m in R.candidates(base, node.word, self.langs, base.legal(), 4):
+                if m == node.move:
+                    continue
+                p, new = base.after(m), []
+                ok = True
+                for x in later:
+                    mv, nags = R.read_exact(p, x.word, self.langs)
+                    if mv is None:
+                        ok = False
+                        break
+                    new.append((x, mv, nags))
+                    p = p.after(mv)
+                if ok and self.read(p, i)[0] is not None:
+                    at = base
+                    for x, mv in [(node, m), *((x, mv) for x, mv, _ in new)]:
+                        x.san, x.move = at.san(mv), mv
+                        at = at.after(mv)
+                        x.at = at
+                    return True
+        return False
+
+    # -- the tree
+
+    def play(self, ln: Line, m: Move, nags: list[int], i: int, guessed: bool) -> None:
+        p = ln.last.at
+        old = next((c for c in ln.last.children if c.move == m), None)
+        t = self.t[i]
+        new = old or Node(m, ln.last, p.after(m), p.san(m), t["tok"], t["page"] or 0, t["text"], guessed)
+        note = " ".join(ln.text)
+        ln.text = []
+        if note:
+            if ln.last is self.root or len(self.lines) > 1 and not ln.last.children and ln.last.parent is None:
+                self.root.comment = f"{self.root.comment} {note}".strip()
+            elif len(self.lines) > 1 and ln.explicit and getattr(ln, "fresh", False):
+                new.before = note
+            else:
+                ln.last.comment = f"{ln.last.comment} {note}".strip()
+        if old is None:
+            if len(self.lines) == 1:
+                ln.last.children.insert(0, new)
+            else:
+                ln.last.children.append(new)
+        elif len(self.lines) == 1 and ln.last.children[0] is not old:
+            ln.last.children.remove(old)
+            ln.last.children.insert(0, old)
+        new.nags.extend(n for n in nags if n not in new.nags)
+        ln.last, ln.expect = new, not new.at.white
+        ln.fresh = False
+        self.idle = 0
+
+    def stop(self, i: int, code: str, message: str) -> None:
+        self.issue(code, i, message, "error")
+        self.stopped = True
+        self._flush()
+
+    # -- the pass
+
+    def run(self) -> list[dict]:
+        for i in range(len(self.t)):
+            try:
+                self.step(i)
+            except (ValueError, IndexError, StopIteration) as e:  # one bad token does not end the book
+                self.issue("parser_exception", i, str(e)[:200], "error")
+        self.close(None, len(self.t) - 1)
+        return self.rows
+
+    def step(self, i: int) -> None:
+        t = self.t[i]
+        kind, text = t["kind"], t["text"] or ""
+        if kind == "boundary":
+            self.close(None, i)
+            if self.number is not None and t["number"] is not None and t["number"] != self.number + 1:
+                self.issue("game_number_recovered", i, f"game {t['number']} follows game {self.number}")
+            self.number, self.heading = t["number"], []
+            return
+        if kind == "end":
+            self.close(None, i)
+            self.number = None
+            return
+        if kind == "players":
+            m = re.match(r"\s*(\S.*?)\s+[—–-]\s+(\S.*?)\s*$", text)
+            if m and self.root is None:
+                self.names = (m[1], m[2])
+            return
+        if self.root is not None:
+            self.idle += 1
+            if self.idle > IDLE and self.number is None:
+                self.close(None, i)
+        if kind == "result":
+            if self.root is None:
+                return
+            if len(self.lines) > 1:
+                self.lines[-1].text.append(text)
+                return
+            self.close(RESULTS.get(text.translate(str.maketrans(*DASHES)), text), i)
+            return
+        if self.stopped:
+            return
+        if kind == "fen":
+            try:
+                p = Position.of(text)
+            except ValueError as e:
+                self.issue("invalid_fen", i, str(e))
+                return
+            if self.root is not None and self.lines[-1].last.at.placement() == p.placement():
+                self.lines[-1].text.append("[#]")
+                return
+            self.close(None, i)
+            self.start(p)
+            return
+        if kind == "num":
+            self.on_number(i, t["number"], bool(t["black"]))
+        elif self.root is None:
+            return
+        elif kind == "open":
+            ln = self.lines[-1]
+            base = ln.last.parent or ln.last
+            self.lines.append(Line(base))
+            self.lines[-1].fresh = True
+        elif kind == "close":
+            if len(self.lines) > 1:
+                ln = self.lines.pop()
+                if ln.text:
+                    ln.last.comment = f"{ln.last.comment} {' '.join(ln.text)}".strip()
+        elif kind == "diagram":
+            self.lines[-1].text.append("[#]")
+        elif kind == "word":
+            self.on_word(i, text)
+
+    def on_number(self, i: int, number: int, black: bool) -> None:
+        if self.root is None:
+            if number == 1 and not black and self.fit(Position.of(), i + 1, 3) >= min(3, self._printed(i + 1)):
+                self.start(Position.of())
+                self.lines[-1].expect = True
+            return
+        ln = self.lines[-1]
+        want = 2 * (number - 1) + black
+        have = ln.last.at.ply()
+        if want == have:
+            ln.expect = True
+        elif len(self.lines) > 1 and getattr(ln, "fresh", False):
+            n = ln.last  # a line may begin up to three plies before its bracket
+            for _ in range(4):
+                if n.at.ply() == want:
+                    ln.last, ln.expect = n, True
+                    return
+                if n.parent is None:
+                    break
+                n = n.parent
+            c = ln.last
+            while c.children and c.at.ply() < want:
+                c = c.children[0]
+            if c.at.ply() == want:
+                ln.last, ln.expect = c, True
+            else:
+                ln.broken = True
+                self.issue("variation_unresolved", i, f"no place for {number}{'...' if black else '.'}")
+        elif len(self.lines) > 1:
+            ln.text.append(f"{number}{'...' if black else '.'}")
+            ln.expect = False
+        elif want < have or number == 1:
+            if number == 1 and not black and self.number is None and self.plies() >= MIN_PLIES and self.fit(Position.of(), i + 1, 3) >= 3:
+                self.close(None, i)
+                self.start(Position.of())
+                self.lines[-1].expect = True
+                return
+            ln.text.append(f"{number}{'...' if black else '.'}")
+            ln.expect = False
+        else:
+            self.stop(i, "move_sequence_gap", f"{number}{'...' if black else '.'} is printed where {have // 2 + 1}{'...' if have % 2 else '.'} is due")
+
+    def _printed(self, i: int) -> int:
+        """Printed moves ahead, up to 3: a short game needs no more than it has."""
+        n = 0
+        for t in self.t[i : i + 24]:
+            if t["kind"] in ("boundary", "end", "result"):
+                break
+            n += t["kind"] == "word" and R.code_of(t["text"]) is not None and not self._is_prose(t["text"])
+        return max(1, min(3, n))
+
+    def on_word(self, i: int, text: str) -> None:
+        ln = self.lines[-1]
+        bare = text.rstrip(".,;")
+        plain = bare.translate(str.maketrans(*DASHES))
+        if len(self.lines) == 1:
+            if RESIGN.match(text):
+                before = self.t[i - 1]["text"] if i else ""
+                loser = False if BLACK_LOST.match(before or "") else True if WHITE_LOST.match(before or "") else ln.last.at.white
+                ln.text = [x for x in ln.text if x != before]
+                self.close("0-1" if loser else "1-0", i)
+                return
+            if DRAWN.match(text) and not ln.expect:
+                self.close("1/2-1/2", i)
+                return
+        if plain in NAGS | EVALUATIONS and ln.last.move is not None and not ln.text:
+            n = (NAGS | EVALUATIONS)[plain]
+            if n not in ln.last.nags:
+                ln.last.nags.append(n)
+            return
+        if ln.broken or not ln.expect:
+            ln.text.append(text)
+            return
+        move, nags, guessed = self.read(ln.last.at, i, exact=len(self.lines) > 1)
+        if move is None and R.code_of(text) is not None and not self._is_prose(text):
+            if len(self.lines) > 1:
+                ln.broken = True
+                ln.text.append(text)
+                self.issue("variation_move_unread", i, f"{text} is no move here")
+                return
+            move = self.repair(ln.last.at, i) if self.scanned else None
+            guessed = move is not None
+            if move is None and self.scanned and self.backtrack(ln, i):
+                move, nags, guessed = self.read(ln.last.at, i)
+            if move is None:
+                self.stop(i, "mainline_move_unresolved", f"{text} cannot be read")
+                return
+        if move is None:
+            ln.text.append(text)
+            return
+        self.play(ln, move, nags, i, guessed)
+
+
+def parse_games(tokens: DataFrame, keys: list[str], langs: str = "en", scanned: bool = False) -> DataFrame:
+    """(keys..., kind = game | move | issue, ...) of every group of tokens, ordered by ``tok``.  Group by book and section
+    where sections are numbered: a boundary resets the state, so hot books spread over many tasks."""
+    ship(tokens.sparkSession)
+    order = langs.split("+")
+    fields = [x.split(" ")[0] for x in OUT.split(", ")]
+    types = dict(tokens.dtypes)
+
+    def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("tok", kind="stable")
+        rows = [{k: (None if not isinstance(v, (list, tuple)) and not hasattr(v, "__len__") and pd.isna(v) else v) for k, v in r.items()} for r in pdf.to_dict("records")]
+        for r in rows:
+            r["number"] = int(r["number"]) if r.get("number") is not None else None
+            r["page"] = int(r["page"]) if r.get("page") is not None else None
+        found = Fold(rows, order, scanned).run()
+        out = pd.DataFrame([{f: r.get(f) for f in fields} for r in found], columns=fields, dtype=object)
+        for k, v in zip(reversed(keys), reversed(key)):
+            out.insert(0, k, [v] * len(out))
+        return out
+
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", " + OUT
+    return tokens.groupBy(*keys).applyInPandas(fold, schema)
+
+
+def games_of(parsed: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per game with ``round``, numbered over the whole book after its sections came together."""
+    return parsed.where("kind = 'game'").withColumn("round", F.row_number().over(Window.partitionBy(keys[0]).orderBy(*keys[1:], "game_id"))).select(*keys, "game_id", "round", "headers", "start_fen", "result", "status")
+
+
+def moves_of(parsed: DataFrame, keys: list[str]) -> DataFrame:
+    return parsed.where("kind = 'move'").select(*keys, "game_id", "path", "ply", "uci", "san", "nags", "comment", "starting_comment", "tok", "page")
+
+
+def issues_of(parsed: DataFrame, keys: list[str]) -> DataFrame:
+    return parsed.where("kind = 'issue'").select(*keys, "game_id", "code", "severity", "message", "tok", "page")
