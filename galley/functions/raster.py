@@ -161,24 +161,26 @@ def classify(glyph: DataFrame, templates: DataFrame, keys: list[str], least: flo
     ink = np.bitwise_count(bits).sum(1)
     ship(glyph.sparkSession)
 
-    @F.arrow_udf("struct<label: string, similarity: double>")
-    def best(words: pa.Array) -> pa.Array:
-        out = []
-        for w in words.to_pylist():
-            if not w or not len(rows):
-                out.append({"label": None, "similarity": None})
-                continue
-            g = np.array(w, np.int64)
-            both = np.bitwise_count(bits & g).sum(1)
-            s = 2 * both / np.maximum(ink + np.bitwise_count(g).sum(), 1)
-            top = np.full(len(labels), -1.0)
-            np.maximum.at(top, of, s)
-            order = np.argsort(-top, kind="stable")
-            ahead = len(order) == 1 or top[order[0]] - top[order[1]] >= margin
-            out.append({"label": labels[order[0]] if top[order[0]] >= least and ahead else None, "similarity": float(top[order[0]])})
-        return pa.array(out, pa.struct([("label", pa.string()), ("similarity", pa.float64())]))
-
-    return glyph.select(*keys, best("words").alias("b")).select(*keys, "b.label", "b.similarity")
+    types = dict(glyph.dtypes)
+
+    def best(w) -> tuple[str | None, float | None]:
+        if not w or not len(rows):
+            return None, None
+        g = np.array(w, np.int64)
+        both = np.bitwise_count(bits & g).sum(1)
+        s = 2 * both / np.maximum(ink + np.bitwise_count(g).sum(), 1)
+        top = np.full(len(labels), -1.0)
+        np.maximum.at(top, of, s)
+        order = np.argsort(-top, kind="stable")
+        ahead = len(order) == 1 or top[order[0]] - top[order[1]] >= margin
+        return labels[order[0]] if top[order[0]] >= least and ahead else None, float(top[order[0]])
+
+    def run(batches):
+        for b in batches:
+            found = [best(w) for w in b.column("words").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.select(keys).columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*keys, "label", "similarity"])
+
+    return glyph.select(*keys, "words").mapInArrow(run, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", label string, similarity double")
 
 
 def beam(columns: list[list[tuple[int, str, float]]], width: int, beam_size: int = 4, most: int = 18) -> list[tuple[str, float]]:

@@ -178,7 +178,7 @@ def _placed(entries: Column, kind: T.StructType) -> Column:
     dense = F.transform(seats, lambda e: e["item"])
     top = F.array_max(F.transform(entries, lambda e: e["no"]))
     in_place = F.forall(F.transform(entries, lambda e, i: e["no"] == i + 1), lambda ok: ok)
-    spread = F.transform(F.sequence(F.lit(1), top), lambda k: F.element_at(F.transform(F.filter(seats, lambda e: e["no"] == k), lambda e: e["item"]), F.lit(1)))
+    spread = F.transform(F.sequence(F.lit(1), top), lambda k: F.try_element_at(F.transform(F.filter(seats, lambda e: e["no"] == k), lambda e: e["item"]), F.lit(1)))
     return F.when(F.size(entries) == 0, F.array().cast(T.ArrayType(kind))).when(in_place, dense).otherwise(spread)
 
 

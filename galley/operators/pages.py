@@ -138,7 +138,7 @@ def column_gap(words: DataFrame, keys: list[str], width: str = "width") -> DataF
     out_keys = ", ".join(f"`{k}` {dict(words.dtypes)[k]}" for k in keys)
 
     def find(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({**{k: [] for k in keys}, "gap": []})
+        none = pdf[keys].head(0).assign(gap=pd.Series(dtype=float))
         page = float(pdf[width].iloc[0])
         x0, x1, y = pdf["x0"].to_numpy(float), pdf["x1"].to_numpy(float), ((pdf["y0"] + pdf["y1"]) / 2).to_numpy(float)
         xs = np.arange(int(page * 0.3), int(page * 0.7) + 1)
