@@ -76,6 +76,8 @@ def _segment_form(seg: str, around: int) -> str:
     def word(m: re.Match) -> str:
         w = m[0]
         score = _script(w)
+        if score == 0 and any(c in NEVER and c not in TO_RUSSIAN for c in w):
+            score = -1
         if score == 0:  # only letters both scripts have: the majority, then the neighbours
             score = sum(c in RUSSIAN for c in w) * 2 - len(w)
             if score and abs(score) == len(w) and not set(w) & set(TWINS):
