@@ -34,16 +34,17 @@ COMBINING = "̀-ͯ҃-҇᪰-᫿᷀-᷿⃐-⃰︠-︯"
 TWINS = "".join(sorted(set(TO_LATIN) - RUSSIAN)) + "".join(DASHES)
 ALWAYS = f"[{INVISIBLE}{COMPATIBLE}{COMBINING}{TWINS}]"
 _always, _invisible, _compatible = re.compile(ALWAYS), re.compile(f"[{INVISIBLE}]"), re.compile(f"[{COMPATIBLE}]+")
-_mixed = re.compile("[A-Za-zÀ-ɏ0-9♔-♟].*[а-яёА-ЯЁ]|[а-яёА-ЯЁ].*[A-Za-zÀ-ɏ0-9♔-♟]")
+PLAIN, CYRILLIC = "[A-Za-zÀ-ɏ0-9♔-♟]", "[а-яёА-ЯЁ]"
+_plain, _cyrillic = re.compile(PLAIN), re.compile(CYRILLIC)
 _square, _run = re.compile(r"[a-h]\d|\d[a-h]|0-0|[a-h][:x][a-h]"), re.compile(r"[^\W\d_]+")
 _segment = re.compile(r"[^ \t\r\n]+")
-#: The same quick check for the JVM: what it does not match is in the consistent form.
-UNSTABLE = f"{ALWAYS}|[A-Za-zÀ-ɏ0-9♔-♟][^ \\t\\r\\n]*[а-яёА-ЯЁ]|[а-яёА-ЯЁ][^ \\t\\r\\n]*[A-Za-zÀ-ɏ0-9♔-♟]"
 
 
 def is_stable(text: str) -> bool:
     """True only if ``text`` is surely in the consistent form already."""
-    return _always.search(text) is None and not any(_mixed.search(w) for w in text.split())
+    if _always.search(text):
+        return False
+    return not (_cyrillic.search(text) and _plain.search(text) and any(_cyrillic.search(w) and _plain.search(w) for w in text.split()))
 
 
 def _script(letters: str) -> int:
@@ -99,8 +100,9 @@ def consistent(text: str | None) -> str | None:
 
 
 def needs_form(c: Column) -> Column:
-    """The quick check as a JVM expression: False for texts that are surely consistent; NULL for NULL."""
-    return c.rlike(UNSTABLE)
+    """The quick check as a JVM expression, linear in the text: False for texts that are surely consistent, which are those
+    without any unstable character and without letters of two scripts; NULL for NULL."""
+    return c.rlike(ALWAYS) | (c.rlike(CYRILLIC) & c.rlike(PLAIN))
 
 
 def with_form(df: DataFrame, text_col: str, out: str = "form") -> DataFrame:
