@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +27,9 @@ RESIGN = re.compile(r"^(?:сдались|сдаются|сдался|сдала
 DRAWN = re.compile(r"^(?:ничья|draw|remis)[.!]?$", re.I)
 OUT = "kind string, game_id int, headers map<string,string>, start_fen string, result string, status string, path array<int>, ply int, uci string, san string, nags array<int>, comment string, starting_comment string, code string, severity string, message string, tok bigint, page int"
 
+_ints = pa.list_(pa.int32())
+ARROW = [pa.field(n, t) for n, t in (("kind", pa.string()), ("game_id", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("start_fen", pa.string()), ("result", pa.string()), ("status", pa.string()), ("path", _ints), ("ply", pa.int32()), ("uci", pa.string()), ("san", pa.string()), ("nags", _ints), ("comment", pa.string()), ("starting_comment", pa.string()), ("code", pa.string()), ("severity", pa.string()), ("message", pa.string()), ("tok", pa.int64()), ("page", pa.int32()))]
+
 
 @dataclass
 class Node:
@@ -115,7 +118,7 @@ class Fold:
                 headers |= {"FEN": self.root.at.fen(), "SetUp": "1"}
             if result is None and not self.stopped:
                 self.issue("unknown_result", i, "no result is printed")
-            self.rows.append({"kind": "game", "game_id": self.games, "headers": headers, "start_fen": self.root.at.fen(), "result": headers["Result"], "status": "incomplete" if self.stopped else "complete", "comment": self.root.comment})
+            self.rows.append({"kind": "game", "game_id": self.games, "headers": list(headers.items()), "start_fen": self.root.at.fen(), "result": headers["Result"], "status": "incomplete" if self.stopped else "complete", "comment": self.root.comment})
             self._emit(self.root)
         elif plies:
             self.issue("short_fragment", i, f"{plies} plies are too few for a game")
@@ -435,23 +438,16 @@ def parse_games(tokens: DataFrame, keys: list[str], langs: str = "en", scanned:
     where sections are numbered: a boundary resets the state, so hot books spread over many tasks."""
     ship(tokens.sparkSession)
     order = langs.split("+")
-    fields = [x.split(" ")[0] for x in OUT.split(", ")]
     types = dict(tokens.dtypes)
 
-    def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("tok", kind="stable")
-        rows = [{k: (None if not isinstance(v, (list, tuple)) and not hasattr(v, "__len__") and pd.isna(v) else v) for k, v in r.items()} for r in pdf.to_dict("records")]
-        for r in rows:
-            r["number"] = int(r["number"]) if r.get("number") is not None else None
-            r["page"] = int(r["page"]) if r.get("page") is not None else None
+    def fold(group: pa.Table) -> pa.Table:
+        rows = sorted(group.to_pylist(), key=lambda r: r["tok"])
         found = Fold(rows, order, scanned).run()
-        out = pd.DataFrame([{f: r.get(f) for f in fields} for r in found], columns=fields, dtype=object)
-        for k, v in zip(reversed(keys), reversed(key)):
-            out.insert(0, k, [v] * len(out))
-        return out
+        own = {k: rows[0][k] for k in keys}
+        fields = [*(group.schema.field(k) for k in keys), *ARROW]
+        return pa.Table.from_pylist([own | r for r in found], schema=pa.schema(fields))
 
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", " + OUT
-    return tokens.groupBy(*keys).applyInPandas(fold, schema)
+    return tokens.groupBy(*keys).applyInArrow(fold, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", " + OUT)
 
 
 def games_of(parsed: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import records, relational, text
+from . import games, records, relational, text
 
-QUERIES: dict = {**records.QUERIES, **text.QUERIES, **relational.QUERIES}
-SQL: dict[str, str] = {**records.SQL, **text.SQL, **relational.SQL}
+QUERIES: dict = {**records.QUERIES, **text.QUERIES, **relational.QUERIES, **games.QUERIES}
+SQL: dict[str, str] = {**records.SQL, **text.SQL, **relational.SQL, **games.SQL}

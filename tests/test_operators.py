@@ -161,7 +161,7 @@ def test_fold_scanned_and_abstaining():
     assert line(same) == [] and [r["code"] for r in same if r["kind"] == "issue"] in ([], ["mainline_move_unresolved"], ["short_fragment"])
     gap = Fold(tok("1.e4 e5 2.Nf3 Nc6 3.Bb5 a6 7.Re1 b5 0-1"), ["en"], False).run()
     g = next(r for r in gap if r["kind"] == "game")
-    assert g["result"] == "*" and g["headers"]["SourceResult"] == "0-1" and g["status"] == "incomplete"
+    assert g["result"] == "*" and dict(g["headers"])["SourceResult"] == "0-1" and g["status"] == "incomplete"
     assert [r["code"] for r in gap if r["kind"] == "issue"] == ["move_sequence_gap"]
     assert Fold([], ["en"], True).run() == []
 
