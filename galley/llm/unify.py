@@ -53,7 +53,7 @@ def _script(letters: str) -> int:
     for c in letters:
         if c in RUSSIAN:
             score += c not in CYRILLIC_TWINS
-        elif c.isalpha() and c not in TO_LATIN and c not in TO_RUSSIAN:
+        elif c.isalpha() and c not in TO_RUSSIAN and TO_LATIN.get(c, c) not in TO_RUSSIAN:
             score -= 1
     return score
 
