@@ -49,11 +49,13 @@ def doc_token_kinds(spark, d):
 def doc_lang_vote(spark, d):
     """Words that look like moves, per language hint, and the language that a document's text speaks for."""
     docs = table(spark, d, "documents").where("text is not null").select("doc_id", "lang", "text")
-    share = F.length(F.regexp_replace("text", "[^а-яА-ЯёЁ]", "")) / F.greatest(F.length(F.regexp_replace("text", "[^a-zA-Zа-яА-ЯёЁ]", "")), F.lit(1))
-    count = lambda p: F.size(F.filter(_words(F.col("text")), lambda w: w.rlike(p)))
-    hits = {k: count(p) for k, p in (("en", "^(the|and|of|that|was)$"), ("de", "^(der|die|und|das|nicht)$"), ("es", "^(la|de|el|que|con)$"))}
+    # what runs of letters leave over: a run is one replacement
+    letters = lambda c: F.length("text") - F.length(F.regexp_replace("text", f"[{c}]+", ""))
+    share = letters("а-яА-ЯёЁ") / F.greatest(letters("a-zA-Zа-яА-ЯёЁ"), F.lit(1))
+    count = lambda own: F.size(F.filter("ws", lambda w: w.isin(*own.split())))
+    hits = {k: count(own) for k, own in (("en", "the and of that was"), ("de", "der die und das nicht"), ("es", "la de el que con"))}
     vote = F.when(share > 0.2, "ru").when((hits["de"] > hits["en"]) & (hits["de"] >= hits["es"]), "de").when((hits["es"] > hits["en"]) & (hits["es"] > hits["de"]), "es").when(hits["en"] > 0, "en").otherwise("none")
-    return docs.groupBy(F.coalesce("lang", F.lit("?")).alias("lang"), vote.alias("vote")).agg(F.count("*").alias("n"))
+    return docs.withColumn("ws", F.split("text", BLANK)).groupBy(F.coalesce("lang", F.lit("?")).alias("lang"), vote.alias("vote")).agg(F.count("*").alias("n"))
 
 
 def doc_junk_lines(spark, d):
