@@ -190,11 +190,11 @@ def tokens(lines: DataFrame, keys: list[str]) -> DataFrame:
 def table_rows(tok: DataFrame, keys: list[str]) -> DataFrame:
     """(keys..., line_no, number, moves, is_row): lines that are a number and one to four words, all of them moves or at
     most three characters long, one a move at least."""
-    code = N.move_code(F.col("text"))
+    move = F.when(F.col("kind") == "word", N.move_code(F.col("text")).isNotNull())
     agg = tok.groupBy(*keys, "line_no").agg(
         F.count_if(F.col("kind") == "num").alias("nums"), F.min_by("kind", "pos").alias("first"), F.min_by("number", "pos").alias("number"), F.count_if(F.col("kind") == "word").alias("words"),
         F.count_if(F.col("kind").isin("open", "close")).alias("brackets"),
-        F.bool_and(F.when(F.col("kind") == "word", code.isNotNull() | (F.length("text") <= 3)).otherwise(True)).alias("fit"), F.count_if((F.col("kind") == "word") & code.isNotNull()).alias("moves"),
+        F.bool_and(F.coalesce(move | (F.length("text") <= 3), F.lit(True))).alias("fit"), F.count_if(F.coalesce(move, F.lit(False))).alias("moves"),
     )
     return agg.select(*keys, "line_no", "number", "moves", ((F.col("first") == "num") & (F.col("nums") == 1) & F.col("words").between(1, 4) & F.col("fit") & (F.col("moves") >= 1) & (F.col("brackets") == 0)).alias("is_row"))
 

@@ -59,7 +59,7 @@ def note_defects(spark, d):
 def doc_move_rows(spark, d):
     """Documents that hold rows of a table of moves, and whether they are such a table as a whole."""
     docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text")
-    lines = P.explode_lines(docs, ["doc_id"]).withColumn("line", F.regexp_replace("line", r"^[ |]*(\d{1,3})[ |.\t]+(?=\S)", "$1. "))
+    lines = P.explode_lines(docs, ["doc_id"]).withColumn("line", F.regexp_replace("line", r"^[ |]*(\d{1,3})[ |.\t]+(?=\S)", "$1. ")).where(F.col("line").rlike(r"^\s*\d{1,3}(\.|…)"))
     return P.table_layout(P.table_rows(P.tokens(lines, ["doc_id"]), ["doc_id"]), ["doc_id"]).where("rows > 0")
 
 
