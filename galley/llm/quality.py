@@ -30,6 +30,8 @@ START = np.log(np.array([0.55, 0.2, 0.15, 0.1]))
 STAY = 0.9
 STEP = np.log(np.where(np.eye(4, dtype=bool), STAY, (1 - STAY) / 3))
 PARTS = 1_000_000
+#: White space and characters that print nothing; a line of these is blank.
+UNSEEN = " \t\v\f\x00\x1c\x1d\x1e\x1f\x85\xa0\xad\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u200c\u200d\u200e\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
 
 LOWER, UPPER, DIGIT, SPACE, NEWLINE, STOP, CELL, COMMA, SIGN, MARK, WRONG, HIGH, VOWEL = (1 << k for k in range(13))
 
@@ -84,7 +86,7 @@ def measure(texts: list[str | None], common: frozenset[str]) -> tuple[dict[str,
     owner: list[int] = []
     for k, t in enumerate(texts):
         if t:
-            own = [x for x in t.replace("\r", "\n").split("\n") if x and not x.isspace()]
+            own = [x for x in t.replace("\r", "\n").split("\n") if x.strip() and x.strip(UNSEEN)]
             lines += own
             owner += [k] * len(own)
     doc = np.array(owner, np.int64)

@@ -25,10 +25,10 @@ def test_kinds(spark, kind):
 
 
 def test_figures_and_blanks(spark):
-    got = table(spark, ["The cat sat.\nOn the mat", None, "", " \n\t ", "\x00", "word " * 200_000])
+    got = table(spark, ["The cat sat.\nOn the mat", None, "", " \n\t ", "\u200b\n\xad\ufeff\x00", "word " * 200_000])
     assert (got[0]["n_words"], got[0]["end_share"], got[0]["symbol_share"]) == (6, 0.5, 0.0)
     assert got[0]["mean_word_length"] == pytest.approx(18 / 6) and got[0]["common_share"] == pytest.approx(3 / 6)
-    for i in (1, 2, 3):
+    for i in (1, 2, 3, 4):
         assert got[i]["n_words"] == 0 and got[i]["kind"] is None and got[i]["prose_share"] is None
     assert got[5]["n_words"] == 200_000
 
