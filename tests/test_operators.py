@@ -166,6 +166,40 @@ def test_fold_scanned_and_abstaining():
     assert Fold([], ["en"], True).run() == []
 
 
+def table(*lines_):
+    """Tokens of a table: a line each."""
+    out = []
+    for k, text in enumerate(lines_):
+        out += [x | {"line": float(k)} for x in tok(text)]
+    return [x | {"tok": k} for k, x in enumerate(out)]
+
+
+def codes(rows_):
+    return [r["code"] for r in rows_ if r["kind"] == "issue"]
+
+
+def test_repair_tries_all_legal_moves():
+    got = Fold(tok("1.e4 e5 2.Nf3 Nc6 3.A18 a6 4.Ba4 Nf6 5.0-0 Be7 1-0"), ["en"], True).run()
+    assert line(got) == ["e4", "e5", "Nf3", "Nc6", "Bb5", "a6", "Ba4", "Nf6", "O-O", "Be7"] and codes(got) == ["move_corrected"]
+    shown = Fold(tok("1.e4 e5 2.Nf3 Nc6 3.♗88 a6 4.Ba4 Nf6 5.0-0 Be7 1-0"), ["en"], True).run()
+    assert line(shown)[4] == "Bb5"
+    vague = Fold(tok("1.e4 e5 2.Nf3 Nc6 3.d4 exd4 4.♗?5 a6 5.Nxd4 Nf6 1-0"), ["en"], True).run()
+    assert "mainline_move_unresolved" in codes(vague)  # b5 and g5 are open to a bishop: later moves prove neither
+    two = Fold(tok("1.e4 e5 2.Nf3 Nc6 3.N?3 Nf6 4.d3 d6 5.Be2 Be7 6.0-0 0-0 1-0"), ["en"], True).run()
+    assert line(two)[4] == "Nc3" and len(line(two)) == 12 and codes(two) == ["move_guessed"]
+    four = Fold(tok("1.e4 e5 2.d3 N?6 3.Be2 Be7 4.Bd2 d6 5.c3 Bd7 6.h3 Bc8 1-0"), ["en"], True).run()
+    assert "mainline_move_unresolved" in codes(four)  # the knights have four fields and nothing tells which
+
+
+def test_repair_looks_over_the_comments_of_tables():
+    note = ["a long note on the plans of both sides here"] * 30
+    game = ["1. e4 e5", "2. Nf3 Nc6", "3. A18 a6", *note, "4. Ba4 Nf6", "5. 0-0 Be7", "6. Re1 b5", "7. Bb3 d6"]
+    got = Fold(table(*game), ["en"], True).run()
+    assert line(got)[4] == "Bb5" and len(line(got)) == 14
+    last = Fold(table("1. e4 e5", "2. Nf3 Nc6", "3. Bb5 a6", "4. Ba4 Nf6", "5. 0-0 Be7", "6. Re1 zzb5"), ["en"], True).run()
+    assert len(line(last)) == 12 and line(last)[-1] == "b5"
+
+
 def test_parse_games(spark):
     data = [(b, t["tok"], t["kind"], t["number"], t["black"], t["text"], 1, 1.0, None) for b in ("x", "y") for t in tok("# 1.e4 e5 2.Nf3 Nc6 3.Bb5 a6 1-0")]
     df = spark.createDataFrame(data, "book_id string, tok bigint, kind string, number int, black boolean, text string, page int, line double, readings array<string>")
