@@ -19,13 +19,18 @@ from ..functions.chess import START, Move, Position
 from ..functions.notation import DASHES, EVALUATIONS, FIGURINES, NAGS, RESULTS, SHAPE_OF
 from ..session import ship
 
-MIN_PLIES, IDLE, HORIZON, BACK = 6, 400, 24, 10
+MIN_PLIES, IDLE, HORIZON = 6, 400, 24
+#: Moves to go back over: in running text, in tables, and in tables where a clean move is blocked by one misread before.
+BACK, TABLE_BACK, BLOCKED_BACK = 10, 26, 40
+#: How much farther from print another reading may be, and the same where the move to come is blocked.
+SWAP, BLOCKED_SWAP = 0.6, 1.2
 #: Look-ahead in tokens for each move asked for: in running text, and in tables, whose comments stand between the rows.
 WINDOW, TABLE_WINDOW = 8, 60
 #: Cost of a near reading taken without a lead, of a row's move stepped over, and of a row's move that cannot be read.
 UNSURE, LOOSE, UNREAD = 0.2, 0.5, 3.0
 #: Small letters that no printed move has, nor anything that looks like one.
 PROSE = set("абвгдежзийклмнопрстуфхцчшщъыьэюя") - {c.lower() for v in SHAPE_OF.values() for c in v}
+FULL_MOVE = re.compile(r"^(Kp|[KFLcRBNQ])?([a-h][1-8])[-x]([a-h][1-8])$")
 FIGURINE = dict(zip(FIGURINES[0], FIGURINES[1]))
 ISSUE_INFO = {"excluded_tail", "game_number_recovered", "diagram_setup", "move_corrected"}
 WHITE_LOST = re.compile(r"^(?:белые|white|weiß)$", re.I)
@@ -47,6 +52,7 @@ class Node:
     tok: int = -1
     page: int = 0
     word: str = ""
+    i: int = -1  # the place of the word among the tokens
     guessed: bool = False
     tied: bool = False  # guessed among moves that fit and look alike
     nags: list[int] = field(default_factory=list)
@@ -396,37 +402,100 @@ class Fold:
         self.cost = self.look + next(c for _, c, x in scored if x == m)
         return m
 
-    def backtrack(self, ln: Line, i: int) -> bool:
-        """Another reading of one of the last moves that were guesses, under which everything since and this word fit."""
-        chain, n = [], ln.last
-        while n.parent is not None and len(chain) < BACK:
-            chain.append(n)
+    def backtrack(self, ln: Line, i: int, rival: float | None = None, blocked: bool = False) -> bool:
+        """Another reading of one of the last moves, if the printed moves from here on fit clearly better than after the
+        best repair of this one (after ``rival``, the cost of a repair that looks unlike its word: as well and clearly
+        nearer to print).  Of all readings the one with the greatest fit is kept, then the nearest to print, then the
+        latest.  ``blocked``: this word is a clean move that only an earlier misreading blocks."""
+        part, n = [], ln.last
+        while n.parent is not None and len(part) < ((BLOCKED_BACK if blocked else TABLE_BACK) if self.table else BACK):
+            part.insert(0, n)
             n = n.parent
-        for k, node in enumerate(chain):
-            if not node.guessed or any(c.children[1:] for c in chain[: k + 1]):
-                continue
+        best = None
+        for start, node in enumerate(part):
             base = node.parent.at
-            later = list(reversed(chain[:k]))
-            for _, m in R.candidates(base, node.word, self.langs, base.legal(), 4):
-                if m == node.move:
+            near = self.near(base, node.i, 6)
+            own = next((d for d, m in near[:4] if m == node.move), None)
+            if own == 0 and any(FULL_MOVE.match(R.shape_of(R.core_and_marks(w)[0])) for w in self.words(node.i)):
+                kind = base.at[node.move.start]
+                if sum(m.end == node.move.end and base.at[m.start] == kind for m in base.legal()) > 1:
+                    continue  # a complete long move is not given to the other rook or knight
+            for cost, first in near:
+                if first == node.move or not node.guessed and cost - (own or 0.0) > (BLOCKED_SWAP if blocked else SWAP):
                     continue
-                p, new = base.after(m), []
-                ok = True
-                for x in later:
-                    mv, nags = R.read_exact(p, x.word, self.langs)
-                    if mv is None:
-                        ok = False
+                p, moves, total = base.after(first), [(first, True, [])], cost
+                for x in part[start + 1 :]:
+                    m, nags, guess = self.read(p, x.i)
+                    if m is None:
+                        m, d = self.read_near(p, x.i)
+                        guess = True
+                    else:
+                        d = self.read_near(p, x.i)[1]
+                    if m is None:
                         break
-                    new.append((x, mv, nags))
-                    p = p.after(mv)
-                if ok and self.read(p, i)[0] is not None:
-                    at = base
-                    for x, mv in [(node, m), *((x, mv) for x, mv, _ in new)]:
-                        x.san, x.move = at.san(mv), mv
-                        at = at.after(mv)
-                        x.at = at
-                    return True
-        return False
+                    p = p.after(m)
+                    total += d
+                    moves.append((m, guess, nags))
+                else:
+                    fit, far = self.fit(p, i, HORIZON, near=True)
+                    if rival is not None:
+                        good = fit >= self.best and total + far + 1 < rival and self.read(p, i)[0] is not None
+                    else:  # a move that was a guess gives way to any better fit
+                        good = fit > self.best + (0 if node.guessed else 1)
+                    if blocked and any(R.blocked(p, w) for w in self.words(i)):
+                        good = False
+                    key = (fit, -(total + far), start)
+                    if good and (best is None or key > best[0]):
+                        best = key, part[start:], moves
+        if best is None:
+            return False
+        self.replace(best[1], best[2], i)
+        return True
+
+    def replace(self, part: list[Node], moves: list[tuple[Move, bool, list[int]]], i: int) -> None:
+        """Other moves for the end of the main line.  Comments and marks stay, side lines as long as they are legal."""
+        for k, (n, (m, guess, _)) in enumerate(zip(part, moves)):
+            up = n.parent
+            if k:
+                for c in [c for c in up.children if c is not n]:
+                    if not self._relaid(c, up.at):
+                        up.children.remove(c)
+                        self.issue("discarded_variation", c.i if c.i >= 0 else i, f"{c.word} is not legal after a correction")
+            if m != n.move:
+                n.tied = False
+            n.guessed = guess
+            n.move, n.san, n.at = m, up.at.san(m), up.at.after(m)
+        for n in part:
+            twin = next((c for c in n.parent.children if c is not n and c.move == n.move), None)
+            if twin is not None:
+                n.parent.children.remove(twin)
+                self._merged(n, twin)
+
+    def _relaid(self, n: Node, at: Position) -> bool:
+        """Whether a line is legal from another position; its positions are set anew."""
+        todo, found = [(n, at)], []
+        while todo:
+            x, p = todo.pop()
+            if x.move not in p.legal():
+                return False
+            q = p.after(x.move)
+            found.append((x, q, p.san(x.move)))
+            todo += [(c, q) for c in x.children]
+        for x, q, san in found:
+            x.at, x.san = q, san
+        return True
+
+    def _merged(self, n: Node, twin: Node) -> None:
+        """A side line that begins with the corrected move hangs on it from now on."""
+        n.comment = " ".join(x for x in (n.comment, twin.before, twin.comment) if x)
+        n.nags += [x for x in twin.nags if x not in n.nags]
+        for c in twin.children:
+            same = next((x for x in n.children if x.move == c.move), None)
+            if same is not None:
+                self._merged(same, c)
+            else:
+                c.parent = n
+                n.children.append(c)
 
     # -- the tree
 
@@ -434,7 +503,7 @@ class Fold:
         p = ln.last.at
         old = next((c for c in ln.last.children if c.move == m), None)
         t = self.t[i]
-        new = old or Node(m, ln.last, p.after(m), p.san(m), t["tok"], t["page"] or 0, t["text"], guessed, tied)
+        new = old or Node(m, ln.last, p.after(m), p.san(m), t["tok"], t["page"] or 0, t["text"], i, guessed, tied)
         note = " ".join(ln.text)
         ln.text = []
         if note:
@@ -452,6 +521,8 @@ class Fold:
         elif len(self.lines) == 1 and ln.last.children[0] is not old:
             ln.last.children.remove(old)
             ln.last.children.insert(0, old)
+        if len(self.lines) == 1:
+            new.i = i
         new.nags.extend(n for n in nags if n not in new.nags)
         ln.last, ln.expect = new, not new.at.white
         ln.fresh = False
@@ -609,6 +680,13 @@ class Fold:
         if ln.broken or not ln.expect:
             ln.text.append(text)
             return
+        main = self.scanned and len(self.lines) == 1
+        if main and self.vague(ln.last.at, i):
+            self.stop(i, "mainline_move_unresolved", f"{text} leaves its file open")
+            return
+        if main and ln.last.move is not None and any(R.blocked(ln.last.at, w) for w in self.words(i)) and not any(d <= SWAP for d, _ in self.near(ln.last.at, i)):
+            self.best = 2
+            self.backtrack(ln, i, blocked=True)  # before any near reading of this word
         move, nags, guessed = self.read(ln.last.at, i, exact=len(self.lines) > 1)
         tied = False
         if move is None and (self._may_move(i) if len(self.lines) == 1 else R.code_of(text) is not None and not self._is_prose(text)):
@@ -617,10 +695,15 @@ class Fold:
                 ln.text.append(text)
                 self.issue("variation_move_unread", i, f"{text} is no move here")
                 return
-            move = self.repair(ln.last.at, i) if self.scanned else None
-            guessed, tied = move is not None, self.tied
-            if move is None and self.scanned and self.backtrack(ln, i):
-                move, nags, guessed = self.read(ln.last.at, i)
+            if main:
+                move = self.repair(ln.last.at, i)
+                unlike = move is not None and self.look > 1
+                guessed, tied = True, self.tied
+                if (move is None or unlike) and ln.last.move is not None and R.code_of(text) and self.backtrack(ln, i, self.cost if unlike else None):
+                    move, nags, guessed = self.read(ln.last.at, i)
+                    if move is None:
+                        move, guessed = self.repair(ln.last.at, i), True
+                        tied = self.tied
             if move is None:
                 self.stop(i, "mainline_move_unresolved", f"{text} cannot be read")
                 return

@@ -200,6 +200,20 @@ def test_repair_looks_over_the_comments_of_tables():
     assert len(line(last)) == 12 and line(last)[-1] == "b5"
 
 
+def test_backtrack_reopens_exact_moves():
+    got = Fold(tok("1.e4 e6 2.d4 exd4 3.Qxd4 Nc6 4.Qe3 Nf6 5.Nc3 Bb4 6.Bd2 0-0 1-0"), ["en"], True).run()
+    assert line(got)[:4] == ["e4", "e5", "d4", "exd4"] and len(line(got)) == 12 and codes(got) == ["move_corrected"]
+    sides = Fold(tok("1.e4 e6 2.d4 (2.d3 e5) (2.Nf3 Nc6) 2...exd4 3.Qxd4 Nc6 4.Qe3 Nf6 5.Nc3 Bb4 6.Bd2 0-0 1-0"), ["en"], True).run()
+    assert len(line(sides)) == 12 and "discarded_variation" in codes(sides)
+    assert [r["san"] for r in sides if r["kind"] == "move" and any(r["path"])] == ["Nf3", "Nc6"]
+
+
+def test_backtrack_goes_farther_in_tables():
+    game = ["1. e4 e6", "2. a3 a6", "3. h3 h6", "4. c3 c6", "5. g3 g6", "6. b3 b6", "7. Bg2 Bb7", "8. d4 exd4", "9. cxd4 Ne7", "10. Nc3 d5", "11. Nge2 Bg7", "12. 0-0 0-0"]
+    got = Fold(table(*game), ["en"], True).run()
+    assert line(got)[1] == "e5" and len(line(got)) == 24  # e6 is an exact reading fourteen moves before
+
+
 def test_parse_games(spark):
     data = [(b, t["tok"], t["kind"], t["number"], t["black"], t["text"], 1, 1.0, None) for b in ("x", "y") for t in tok("# 1.e4 e5 2.Nf3 Nc6 3.Bb5 a6 1-0")]
     df = spark.createDataFrame(data, "book_id string, tok bigint, kind string, number int, black boolean, text string, page int, line double, readings array<string>")
