@@ -452,7 +452,7 @@ def misreadings(words: DataFrame) -> DataFrame:
                 for v, cost, k in trie.near(w):
                     if v == w or k < RARER * n:
                         continue
-                    if cost >= DEAR and pure_word and (len(w) < 6 or len(v) != len(w) or k < 40 * n or n > 2):
+                    if cost >= DEAR and pure_word and (len(w) < 6 or len(v) != len(w) or k < 40 * n):
                         continue
                     if len(w) <= 3 and (cost > CHEAP or k < 20 * n) or cost > CHEAP and pure_word and (len(w) < 7 or k < 40 * n):
                         continue

@@ -74,3 +74,14 @@ def test_heads():
         assert not S.is_head(line, NAMES), line
     assert S.furniture(["[4]", "p. 304", "- 12 -", "1 2", "l0", "1936"], [], None)[:5] == ["page_number"] * 5
     assert S.furniture(["1936"], [], 12) == ["body"]
+
+
+def found(spark, *words, firm=100_000):
+    df = spark.createDataFrame([*words, ("the", firm)], "word string, n bigint")
+    return sorted((r["word"], r["right"]) for r in S.misreadings(df).collect())
+
+
+def test_unlisted_edits_by_ratio(spark):
+    for times in (1, 3, 30):  # a larger corpus of the same kind
+        assert found(spark, ("combinatixn", times), ("combination", 130 * times), firm=100_000 * times) == [("combinatixn", "combination")]
+    assert found(spark, ("combinatixn", 4), ("combination", 130)) == []
