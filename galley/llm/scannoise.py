@@ -40,6 +40,9 @@ SHARD_ENTRIES, SHARD_WORDS = 50_000, 20_000
 #: A table of misread words of at most this many rows goes to every worker; a larger one is joined by shuffling.
 SMALL = 200_000
 
+#: Letters by which a word and its right form may differ in length: one for each edit within the bound.
+GROWTH = int(BOUND / CHEAP + 1e-9) * max(1, *(abs(len(a) - len(b)) for a, b in CONFUSIONS))
+
 _by_read: dict[str, list[str]] = {}
 for _a, _b in CONFUSIONS:
     _by_read.setdefault(_a, []).append(_b)
@@ -434,14 +437,14 @@ def misreadings(words: DataFrame) -> DataFrame:
     length = F.length("word")
     total = words.agg(F.sum("n")).head()[0] or 0
     entry = (F.col("n") >= RARER) & pure & (length >= 2)
-    rare = (F.col("n") <= FIRM * total) & (length >= 3) & (length <= 40)
+    rare = F.col("n") <= FIRM * total
     sizes = words.agg(F.count_if(entry).alias("v"), F.count_if(rare).alias("a")).head()
     shards, parts = -(-sizes["v"] // SHARD_ENTRIES) or 1, -(-sizes["a"] // SHARD_WORDS) or 1
     # a task looks up one part of the words of about one length in one shard of the entries of that length
     spread = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
     own = lambda n: F.pmod(F.xxhash64("word"), F.lit(n)).cast("int")
     vocab = words.where(entry).select(length.alias("size"), own(shards).alias("shard"), F.explode(spread(parts)).alias("part"), "word", "n")
-    asked = words.where(rare).select("word", "n", own(parts).alias("part"), F.explode(F.sequence(F.greatest(length - 2, F.lit(2)), length + 1)).alias("size")).select("size", F.explode(spread(shards)).alias("shard"), "part", "word", "n")
+    asked = words.where(rare).select("word", "n", own(parts).alias("part"), F.explode(F.sequence(F.greatest(length - GROWTH, F.lit(2)), length + GROWTH)).alias("size")).select("size", F.explode(spread(shards)).alias("shard"), "part", "word", "n")
 
     def search(key, ask: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
         rows = []

@@ -85,3 +85,11 @@ def test_unlisted_edits_by_ratio(spark):
     for times in (1, 3, 30):  # a larger corpus of the same kind
         assert found(spark, ("combinatixn", times), ("combination", 130 * times), firm=100_000 * times) == [("combinatixn", "combination")]
     assert found(spark, ("combinatixn", 4), ("combination", 130)) == []
+
+
+def test_words_of_all_lengths_are_looked_up(spark):
+    assert found(spark, ("rnornenturn", 1), ("momentum", 400)) == [("rnornenturn", "momentum")]  # three letters longer
+    assert found(spark, ("bumtumed", 1), ("burnturned", 400)) == [("bumtumed", "burnturned")]  # two letters shorter
+    assert found(spark, ("0f", 1), ("of", 400)) == [("0f", "of")]
+    long = "donaudampfschifffahrtsgesellschaftskapitaen"
+    assert found(spark, (long.replace("gesell", "gcsell"), 1), (long, 400)) == [(long.replace("gesell", "gcsell"), long)]
