@@ -1,9 +1,10 @@
 """The same printed spot in the training split and in another split.
 
 Each picture becomes bit fingerprints that a new cut (other margins), a new scan (specks), another resolution or an
-exchange of black and white leave nearly as they are.  Fingerprints are cut into permuted blocks; pictures within the
-Hamming radius agree in at least one block exactly (or, with probing, up to one bit), so an equi-join on blocks across
-the splits misses none of them.  Candidates are then compared as a whole.
+exchange of black and white leave nearly as they are.  Fingerprints are cut into permuted blocks and joined across the
+splits on equal ones.  Templates, probed up to one bit, miss no pair within their radius.  Pictures miss none of up to
+12 differing bits (BLOCKS - 1), fewer than WINDOW_RADIUS accepts: farther pairs are found only if some block happens to be
+equal.  Candidates are then compared as a whole.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ WINDOW_RADIUS, SAME_INK = 44, 0.86
 TEMPLATE_RADIUS = 63
 #: A block value with more pairs than this is joined by a second level of blocks, which is complete too.
 HOT_PAIRS = 200_000
-#: Which values those are is estimated on every so many records; the estimate chooses the way, never the result.
+#: Which values those are is estimated on every so many records; the estimate chooses the way, and the result only for
+#: pictures beyond 12 differing bits, which must agree in a part of the second level too.
 HOT_EVERY = 64
 _order = np.random.RandomState(20_26).permutation(ROWS * COLS)[: BLOCKS * BITS]
 _bit = (np.int64(1) << np.arange(BITS, dtype=np.int64))[::-1]
