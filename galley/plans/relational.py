@@ -70,7 +70,7 @@ def orders_full_outer(spark, d):
 
 
 def set_path_diff(spark, d):
-    """Paths in common, missing and unexpected between two halves of line items."""
+    """Pairs of part and supplier in common, missing and unexpected between the first and the second line items of orders."""
     a = table(spark, d, "lineitem").where("l_linenumber = 1").select("l_partkey", "l_suppkey").distinct()
     b = table(spark, d, "lineitem").where("l_linenumber = 2").select("l_partkey", "l_suppkey").distinct()
     part = lambda df, n: df.agg(F.count("*").alias("n")).select(F.lit(n).alias("part"), "n")
