@@ -11,23 +11,34 @@ from ..session import table, written
 from . import bookkeys, encode, overlap, packing, quality, scannoise, splits, unify
 
 
-def _overlaps(spark: SparkSession, d: str) -> DataFrame:
-    clips = table(spark, d, "clipped_notation").select(F.col("clip_id").alias("id"), "split", "bit_rows", "dpi")
-    templates = table(spark, d, "coordinates").select(F.col("template_id").alias("id"), "split", "bitmap")
-    return overlap.picture_overlaps(clips).select(F.lit("clipped_notation").alias("src"), "a", "b", "similarity").unionByName(overlap.template_overlaps(templates).select(F.lit("coordinates").alias("src"), "a", "b", "similarity"))
+def _clips(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "clipped_notation").select(F.col("clip_id").alias("id"), "split", "bit_rows", "dpi")
+
+
+def _templates(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "coordinates").select(F.col("template_id").alias("id"), "split", "bitmap")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return _overlaps(spark, d).select("src", F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
+    found = None
+    for src, one in (("clipped_notation", overlap.picture_overlaps(_clips(spark, d))), ("coordinates", overlap.template_overlaps(_templates(spark, d)))):
+        rows = one.select(F.lit(src).alias("src"), F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
+        found = rows if found is None else found.unionByName(rows)
+    return found
 
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
-    """Per table, split and book of the record outside train: its records that overlap train, and the pairs."""
-    found = written(_overlaps(spark, d), "overlaps")
-    rows = table(spark, d, "clipped_notation").select(F.lit("clipped_notation").alias("src"), F.col("clip_id").alias("b"), "split", "book").unionByName(table(spark, d, "coordinates").select(F.lit("coordinates").alias("src"), F.col("template_id").alias("b"), "split", F.col("source.book").alias("book"))).distinct()
-    names = bookkeys.resolve(rows, table(spark, d, "books"))
-    hit = found.join(rows, ["src", "b"]).join(names, "book", "left")
-    return hit.groupBy("src", "split", F.coalesce("book_id", F.lit("unknown")).alias("book_id")).agg(F.count("*").alias("pairs"), F.countDistinct("b").alias("records"), F.countDistinct("a").alias("train_records"))
+    """Per table, split and book of the record outside train: its records that overlap train, and the pairs.  Counted on
+    classes of equal pictures; a record that logs name under two books counts in both."""
+    clips = table(spark, d, "clipped_notation").select(F.col("clip_id").alias("id"), "book")
+    templates = table(spark, d, "coordinates").select(F.col("template_id").alias("id"), F.col("source.book").alias("book"))
+    names = written(bookkeys.resolve(clips.select("book").unionByName(templates.select("book")).distinct(), table(spark, d, "books")), "names")
+    out = None
+    for src, books, (pairs, members) in (("clipped_notation", clips, overlap.picture_classes(_clips(spark, d))), ("coordinates", templates, overlap.template_classes(_templates(spark, d)))):
+        of = books.distinct().join(names, "book", "left").select("id", F.coalesce("book_id", F.lit("unknown")).alias("book_id")).distinct()
+        one = overlap.report(pairs, members.join(of, "id", "left")).select(F.lit(src).alias("src"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def _record_groups(spark: SparkSession, d: str) -> DataFrame:
