@@ -39,8 +39,9 @@ UNSURE = 0.1
 SHIFTS = [(y, x) for y in (0, 1) for x in (-1, 0, 1)]
 #: Templates: 51 blocks of five hexadecimal digits; pairs of up to 49 bits are all found, of 63 bits more than 99.99 %.
 TEMPLATE_BLOCKS, TEMPLATE_BITS, TEMPLATE_RADIUS = 51, 20, 63
-#: Rows of a block value with more pairs than this are joined by that block and one more; the result is the same.
-HOT_PAIRS = 200_000
+#: Rows of a block value with more pairs than this are joined by that block and one more; the result is the same, and the
+#: cost is that of as many rows, not pairs.
+HOT_PAIRS = 4_000
 #: Which values those are is estimated on every so many classes.
 HOT_EVERY = 64
 
@@ -154,24 +155,27 @@ def fingerprints(classes: DataFrame) -> DataFrame:
 
 
 def candidates(prints: DataFrame, blocks: int, bits: int) -> DataFrame:
-    """Distinct (a, b) of a kept and a looked-up row of ``prints`` (rep, looked_up, codes) that agree in AGREE blocks of an
-    alignment, or in one that is not hot.  ``codes`` holds the blocks of one alignment after those of the other.  Rows of a
-    hot block value (too many pairs) are joined by the value and that of any second block: pairs that agree in AGREE = 2
-    blocks are met either way, so hotness never changes what passes the AGREE rule."""
+    """Distinct (a, b) of a kept and a looked-up row of ``prints`` (rep, looked_up, codes) that agree in AGREE = 2 blocks of
+    one alignment or more.  ``codes`` holds the blocks of one alignment after those of the other.  Equal blocks are joined
+    and counted.  Rows of a hot block value (many pairs) are joined by that value and the value of any second block instead:
+    pairs that agree twice are met either way, so hotness never changes the result."""
 
     def keyed(looked_up: bool) -> DataFrame:
         at = prints.where(F.col("looked_up") == looked_up).select("rep", F.posexplode("codes").alias("at", "code"))
-        return at.select("rep", "at", (F.shiftleft((F.col("at") % blocks).cast("bigint"), bits) + F.col("code")).alias("key"))
+        return at.select("rep", F.floor(F.col("at") / blocks).cast("int").alias("turn"), (F.shiftleft((F.col("at") % blocks).cast("bigint"), bits) + F.col("code")).alias("key"))
 
     left, right = keyed(False), keyed(True)
     part = lambda df: df.where(F.pmod(F.xxhash64("rep"), F.lit(HOT_EVERY)) == 0).groupBy("key")
     load = part(left).agg(F.count("*").alias("n")).join(part(right).agg(F.count("*").alias("k")), "key")
     hot = written(load.where(F.col("n") * F.col("k") * HOT_EVERY**2 > HOT_PAIRS).select("key"), "hot")
     a, b = F.col("rep").alias("a"), F.col("rep").alias("b")
+
+    def twice(left: DataFrame, right: DataFrame) -> DataFrame:
+        met = left.select(a, "key").join(right.select(b, "turn", "key"), "key")
+        return met.groupBy("a", "b", "turn").agg(F.count("*").alias("n")).where(F.col("n") >= AGREE).select("a", "b")
+
     if hot.isEmpty():
-        return left.select(a, "key").join(right.select(b, "key"), "key").select("a", "b").distinct()
-    cool = lambda df: df.join(hot, "key", "left_anti")
-    plain = cool(left).select(a, "key").join(cool(right).select(b, "key"), "key").select("a", "b")
+        return twice(left, right).distinct()
 
     def deep(looked_up: bool, name: Column) -> DataFrame:
         """Rows of hot values once for every further block of the alignment, keyed by both values."""
@@ -182,7 +186,8 @@ def candidates(prints: DataFrame, blocks: int, bits: int) -> DataFrame:
         second = F.filter(others, lambda e: e["j"] != F.col("at") % blocks)
         return rows.select(name, "key", F.explode(F.transform(second, lambda e: F.shiftleft(e["j"].cast("bigint"), bits) + e["x"])).alias("second"))
 
-    return plain.union(deep(False, a).join(deep(True, b), ["key", "second"]).select("a", "b")).distinct()
+    cool = lambda df: df.join(hot, "key", "left_anti")
+    return twice(cool(left), cool(right)).union(deep(False, a).join(deep(True, b), ["key", "second"]).select("a", "b")).distinct()
 
 
 def same_ink(a: np.ndarray, b: np.ndarray, reach: int = 3) -> float:
