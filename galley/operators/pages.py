@@ -36,19 +36,23 @@ def page_range(pages: DataFrame, spec: str) -> DataFrame:
 
 def running_heads(lines: DataFrame, book: str = "book_id", page: str = "page") -> DataFrame:
     """(book, page, line_no) of running heads among the first two lines of pages: chapter titles, normal forms that two
-    pages share, and numbered titles whose printed counter agrees with that of a page at most two away."""
-    top = lines.where((F.col("line_no") <= 2) & (F.trim("line") != "")).withColumn("key", L.head_key(F.col("line")))
+    pages share, and titles with a counter set off by a dash at either end that counts on with a page at most two away."""
+    top = lines.where((F.col("line_no") <= 2) & (F.trim("line") != "")).withColumn("key", L.head_key(F.col("line"))).withColumn("w", L.words(F.col("line")))
     often = top.where("key <> ''").groupBy(book, "key").agg(F.countDistinct(page).alias("pages")).where("pages >= 2").select(book, "key")
-    repeated = top.join(often, [book, "key"], "left_semi").where(F.size(F.split("key", r"\s+")) >= 2)
-    chapter = top.where(F.col("key").rlike(L.CHAPTER))
-    p = r"^\s*(?:(\d{1,4})\s+[–—-]\s+(.+)|(.+?)\s+[–—-]\s+(\d{1,4}))\s*$"
-    number = F.coalesce(F.regexp_extract("line", p, 1).try_cast("int"), F.regexp_extract("line", p, 4).try_cast("int"))
-    title = F.concat(F.regexp_extract("line", p, 2), F.regexp_extract("line", p, 3))
-    marks = top.where(F.col("line").rlike(p)).withColumn("counter", number).withColumn("title", title).where((F.size(F.split("title", r"\s+")) >= 2) & ~F.col("title").rlike(L.PLAYERS) & ~F.col("title").rlike(r"(?i)\d|сдал|resign|ничья|draw"))
+    repeated = top.join(often, [book, "key"], "left_semi").where(F.size(L.words(F.col("key"))) >= 2)
+    chapter = top.where(L.chapter_line(F.col("key")))
+    # the counter: the first word before a dash, or the last one behind a dash
+    n = F.size("w")
+    at = lambda i: F.coalesce(F.try_element_at("w", i.cast("int")), F.lit(""))
+    counts, dash = lambda x: x.rlike(r"^\d{1,4}$"), lambda x: x.isin("-", "–", "—")
+    front, back = counts(at(F.lit(1))) & dash(at(F.lit(2))), counts(at(n)) & dash(at(n - 1))
+    title = F.when(front, F.slice("w", 3, n)).when(back, F.slice("w", 1, n - 2))
+    marks = top.where((n >= 4) & (front | back)).withColumn("counter", F.when(front, at(F.lit(1))).otherwise(at(n)).cast("int")).withColumn("title", F.array_join(title, " "))
+    marks = marks.where((F.size(L.words(F.col("title"))) >= 2) & L.players(F.col("title")).isNull() & ~F.col("title").rlike(r"\d") & ~L.tells_outcome(F.col("title")))
     # pages at most two apart whose counters differ as much: the difference of page and counter is the same
-    near = marks.withColumn("shift", F.col("counter") - F.col(page))
-    w = Window.partitionBy(book, "shift").orderBy(page)
-    agreed = near.withColumn("b", F.col(page) - F.lag(page).over(w)).withColumn("a", F.lead(page).over(w) - F.col(page)).where("(b between 1 and 2) or (a between 1 and 2)")
+    w = Window.partitionBy(book, F.col("counter") - F.col(page)).orderBy(page)
+    gap = lambda c: c.between(1, 2)
+    agreed = marks.withColumn("b", F.col(page) - F.lag(page).over(w)).withColumn("a", F.lead(page).over(w) - F.col(page)).where(gap(F.col("b")) | gap(F.col("a")))
     keep = lambda df: df.select(book, page, "line_no")
     return keep(repeated.unionByName(chapter).where(~L.kept_heading(F.col("key")))).unionByName(keep(agreed)).distinct()
 
@@ -68,7 +72,7 @@ def section_events(lines: DataFrame, on: list[str]) -> DataFrame:
     following = F.array_join(F.slice("next_lines", F.lit(1), cut), " ")
     opening = following.rlike(L.OPENING) | following.rlike("__BOARD_") | (F.size(N.fens(following)) > 0)
     event = F.when((F.col("kind") == "heading") & opening, "game_boundary").when(F.col("kind") == "draw", "game_result").when(F.col("kind").isin("credit", "chapter"), "game_end")
-    return rows.withColumn("event", event).withColumn("number", F.when(event == "game_boundary", F.regexp_extract("line", L.GAME_HEADING, 1).cast("int"))).drop("next_lines", "next_kinds")
+    return rows.withColumn("event", event).withColumn("number", F.when(event == "game_boundary", L.heading_number(F.col("line")))).drop("next_lines", "next_kinds")
 
 
 def numbered_sections(lines: DataFrame, on: list[str]) -> DataFrame:
@@ -79,7 +83,7 @@ def numbered_sections(lines: DataFrame, on: list[str]) -> DataFrame:
 def page_defects(lines: DataFrame, keys: list[str]) -> DataFrame:
     """(keys..., orphans, mixed, backtracks): signs that columns ran together."""
     events = section_events(lines, keys)
-    rows = lines.withColumn("row", L.long_rows(F.col("line"))).withColumn("head", F.col("line").rlike(L.GAME_HEADING))
+    rows = lines.withColumn("row", L.long_rows(F.col("line"))).withColumn("head", L.heading_number(F.col("line")).isNotNull())
     sect = S.sections(rows, keys, ["line_no"], F.col("head"))
     back = S.backtracks(sect.where("row is not null"), [*keys, "section"], ["line_no"], "row").groupBy(*keys).agg(F.sum("backtracks").alias("backtracks"))
     flags = events.groupBy(*keys).agg(F.count_if((F.col("kind") == "heading") & F.col("event").isNull()).alias("orphans"), F.count_if(L.mixed_row(F.col("line"))).alias("mixed"))

@@ -177,17 +177,23 @@ def closing_comments(tokens: DataFrame, on: list[str]) -> DataFrame:
     return out.select(*on, "tok", F.when(reason.isNull(), F.col("comment")).alias("comment"), reason.alias("reason"))
 
 
+# Words by which German prose is known.
+GERMAN_WORDS = ("und", "der", "die", "nicht")
+
+
 def page_language(samples: DataFrame, book: list[str]) -> DataFrame:
-    """(book..., lang): the language of a book from sample pages: by its moves if one language has five hits and twice the next, else
-    by the share of Cyrillic letters (above 0.2), else by German words (three).  The patterns are fixed values."""
-    hit = lambda p: F.sum(F.size(F.regexp_extract_all("text", F.lit(p), 0)))
-    a = samples.groupBy(*book).agg(
-        hit(r"(?<!\w)(?:Кр|Kp|Ф|®|Л|J1|JT|С|C|К)[a-h]?[1-8]?[:x—–-]?[a-h][1-8]").alias("ru"), hit(r"(?<!\w)[QRBN][a-h]?[1-8]?x?[a-h][1-8]").alias("en"), hit(r"(?<!\w)[DTLS][a-h]?[1-8]?x?[a-h][1-8]").alias("de"),
-        F.sum(F.length(F.regexp_replace("text", r"\P{L}", ""))).alias("letters"), F.sum(F.length(F.regexp_replace("text", "[^а-яА-ЯёЁ]", ""))).alias("cyrillic"), hit("[äöüß]| und | der | die | nicht ").alias("german"),
-    )
-    ranked = F.array_sort(F.array(*(F.struct((-F.col(k)).alias("s"), F.lit(i).alias("i"), F.lit(k).alias("k")) for i, k in enumerate(("ru", "en", "de")))))
-    top, next_ = -ranked[0]["s"], -ranked[1]["s"]
-    return a.select(*book, F.when((top >= 5) & (top > 2 * next_), ranked[0]["k"]).when((F.col("letters") > 0) & (F.col("cyrillic") > 0.2 * F.col("letters")), "ru").when(F.col("german") >= 3, "de").otherwise("en").alias("lang"))
+    """(book..., lang): the language of a book from sample pages: by its moves if one language has five hits and more than
+    twice the next, else by the share of Cyrillic letters (above 0.2), else by German (three umlauts or words)."""
+    text = F.col("text")
+    hits = L.language_hits(text)
+    letters = lambda c: F.sum(F.length(F.regexp_replace(text, f"[^{c}]", "")))
+    german = F.size(F.filter(L.words(text), lambda w: F.lower(w).isin(*GERMAN_WORDS) | w.rlike("[äöüß]")))
+    a = samples.groupBy(*book).agg(*(F.sum(n).alias(k) for k, n in hits.items()), letters(r"\p{L}").alias("letters"), letters(r"\p{IsCyrillic}").alias("cyrillic"), F.sum(german).alias("german"))
+    order = L.language_order({k: F.col(k) for k in hits})
+    counts = F.sort_array(F.array(*(F.col(k) for k in hits)), asc=False)
+    clear = (counts[0] >= 5) & (counts[0] > 2 * counts[1])
+    lang = F.when(clear, order[0]).when((F.col("letters") > 0) & (F.col("cyrillic") > 0.2 * F.col("letters")), "ru").when(F.col("german") >= 3, "de").otherwise("en")
+    return a.select(*book, lang.alias("lang"))
 
 
 def game_headers(lines: DataFrame, starts: DataFrame, on: list[str]) -> DataFrame:
@@ -203,11 +209,12 @@ def game_headers(lines: DataFrame, starts: DataFrame, on: list[str]) -> DataFram
     dotted = F.col("line").contains("·")
     date = F.element_at(dots, -1)
     first = lambda c, ok: F.min_by(F.when(ok, c), F.when(ok, F.col("r")))
-    names = F.col("line").rlike(L.PLAYERS) & ~F.col("line").rlike(r"\d")
+    both = L.players(F.col("line"))
+    names = both.isNotNull() & ~F.col("line").rlike(r"\d")
     isvenue = F.col("line").rlike(venue) & ~dotted
     dated = dotted & date.rlike(r"^\d{4}(\.(\d\d|\?\?)){0,2}$")
     return text.groupBy(*on, "at").agg(
-        first(F.regexp_extract("line", L.PLAYERS, 1), names).alias("white"), first(F.regexp_extract("line", L.PLAYERS, 2), names).alias("black"), first(F.element_at(dots, 1), dotted).alias("event"),
+        first(both["white"], names).alias("white"), first(both["black"], names).alias("black"), first(F.element_at(dots, 1), dotted).alias("event"),
         F.coalesce(first(F.when(F.size(dots) >= 3, F.element_at(dots, 2)), dotted), first(F.regexp_extract("line", venue, 1), isvenue)).alias("site"),
         F.coalesce(first(date, dated), first(F.concat(F.regexp_extract("line", venue, 2), F.lit(".??.??")), isvenue)).alias("date"), first(F.regexp_extract("line", r"\b([A-E][0-9]{2})\b", 1), F.col("line").rlike(r"\b[A-E][0-9]{2}\b")).alias("eco"),
     ).withColumnRenamed("at", "line_no")
