@@ -14,6 +14,7 @@ does ``file_page`` enter, because a log's page is often missing: spots are told
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ UNSURE = 0.1
 #: Alignments of a looked-up picture around the rounded centre (rows, columns): all pairs whose centres of mass are less than
 #: half a pixel apart in height and less than one in width are looked up at a common alignment.
 SHIFTS = [(y, x) for y in (0, 1) for x in (-1, 0, 1)]
-#: Templates: 51 blocks of five hexadecimal digits; pairs of up to 49 bits are all found, of 63 bits more than 99.99 %.
+#: Templates: 51 blocks of 20 permuted bits; pairs of up to 49 bits are all found, of 63 bits more than 99.99 %.
 TEMPLATE_BLOCKS, TEMPLATE_BITS, TEMPLATE_RADIUS = 51, 20, 63
 #: Rows of a block value with more pairs than this are joined by that block and one more; the result is the same, and the
 #: cost is that of as many rows, not pairs.
@@ -272,22 +273,45 @@ def picture_overlaps(rows: DataFrame, train: str = "train") -> DataFrame:
     return expanded(*picture_classes(rows, train), train)
 
 
-def template_codes(bitmap: Column) -> Column:
-    """Block codes of a bitmap of 1,024 bits in hexadecimal digits, however written (prefix, case, white space, separators);
-    NULL for anything else.  Block k takes every 51st digit from the k-th on, so it has pixels of all parts of the picture;
-    the last element is the one digit left over."""
-    digits = F.regexp_replace(F.regexp_replace(F.lower(F.trim(bitmap)), "^0x", ""), r"[\s:_,-]+", "")
-    number = lambda s: F.conv(s, 16, 10).cast("bigint")
-    block = lambda t, k: number(F.concat(*(F.substring(t, k + 1 + TEMPLATE_BLOCKS * j, F.lit(1)) for j in range(5))))
-    codes = lambda t: F.concat(F.transform(F.sequence(F.lit(0), F.lit(TEMPLATE_BLOCKS - 1)), lambda k: block(t, k)), F.array(number(F.right(t, F.lit(1)))))
-    # the inner lambda names the digits, so that they are worked out once
-    return F.element_at(F.transform(F.array(digits), lambda t: F.when(t.rlike("^[0-9a-f]{256}$"), codes(t))), 1)
+_noise = re.compile(r"[\s:_,-]+")
+_bits_of = np.random.RandomState(51).permutation(1024)
+
+
+def template_codes(bitmaps: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Which texts are bitmaps of 1,024 bits in hexadecimal digits, however written (prefix, case, white space, separators),
+    and their codes: TEMPLATE_BLOCKS blocks of permuted bits, and the bits left over as one more code."""
+    raw, good = [], np.zeros(len(bitmaps), bool)
+    for i, text in enumerate(bitmaps):
+        digits = _noise.sub("", (text or "").strip().lower().removeprefix("0x"))
+        if len(digits) == 256:
+            try:
+                raw.append(bytes.fromhex(digits))
+                good[i] = True
+            except ValueError:
+                pass
+    bits = np.unpackbits(np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 128), axis=1)[:, _bits_of].astype(np.int64)
+    used = TEMPLATE_BLOCKS * TEMPLATE_BITS
+    blocks = (bits[:, :used].reshape(-1, TEMPLATE_BLOCKS, TEMPLATE_BITS) << np.arange(TEMPLATE_BITS)).sum(2)
+    return good, np.concatenate([blocks, (bits[:, used:] << np.arange(1024 - used)).sum(1, keepdims=True)], 1)
+
+
+def coded_templates(df: DataFrame) -> DataFrame:
+    """(id, split, mark, codes) of rows (id, split, bitmap); what is no bitmap gives no row."""
+    ship(df.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            good, codes = template_codes(b.column("bitmap").to_pylist())
+            part = b.select(["id", "split"]).filter(pa.array(good))
+            mark = [hashlib.md5(c.tobytes(), usedforsecurity=False).digest() for c in codes]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(mark, pa.binary()), pa.array(list(codes), pa.list_(pa.int64()))], ["id", "split", "mark", "codes"])
+
+    return df.select("id", "split", "bitmap").mapInArrow(run, "id bigint, split string, mark binary, codes array<bigint>")
 
 
 def template_classes(rows: DataFrame, train: str = "train") -> tuple[DataFrame, DataFrame]:
     """As ``picture_classes``, for rows (id, split, bitmap); the verification counts the differing bits of all 1,024."""
-    coded = rows.where("split is not null").select("id", "split", template_codes(F.col("bitmap")).alias("codes")).where("codes is not null")
-    members, classes = _classed(coded.withColumn("mark", F.sha2(F.array_join(F.col("codes").cast("array<string>"), " "), 256)), "mark", ["codes"], train, "templates")
+    members, classes = _classed(written(coded_templates(rows.where("split is not null")), "coded"), "mark", ["codes"], train, "templates")
     side = lambda flag, up: classes.where(flag).select("rep", F.lit(up).alias("looked_up"), F.slice("codes", 1, TEMPLATE_BLOCKS).alias("codes"))
     pairs = candidates(side("in_train", False).union(side("in_other", True)), TEMPLATE_BLOCKS, TEMPLATE_BITS)
     both = pairs.join(classes.select(F.col("rep").alias("a"), F.col("codes").alias("x")), "a").join(classes.select(F.col("rep").alias("b"), F.col("codes").alias("y")), "b")

@@ -53,16 +53,21 @@ def p3_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.assign(_record_groups(spark, d), table(spark, d, "split_plan"))
 
 
+#: Words for a volume in names of files.
+VOLUME = ("vol", "volume", "band", "bd", "tom", "tomo", "том", "scan")
+
+
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     """The scanned texts with the names that may stand in their book's running heads."""
     notes = table(spark, d, "joined_notation").select("note_id", "book", "source_page", "raw").where("raw is not null")
     books = table(spark, d, "books")
     ids = bookkeys.resolve(notes, books)
-    stem = F.regexp_replace(F.regexp_replace("path", r"\.[a-z]+$", ""), r"(?i)_vol_[0-9]+$|^scan[0-9]+_", "")
+    # what names the book in its path: no parts with digits, no words for a volume
+    parts = F.filter(F.split(F.regexp_replace("path", r"^.*/|\.[a-z]+$", ""), "[_ .]+"), lambda w: (w != "") & ~w.rlike("[0-9]") & ~F.lower(w).isin(*VOLUME))
     name = F.array_distinct(F.concat(
         F.when(F.trim("title") != "", F.array(F.lower(F.trim("title")))).otherwise(F.array().cast("array<string>")),
         F.flatten(F.transform(F.split(F.coalesce("author", F.lit("")), r"\s*[;&]\s*"), lambda a: F.transform(F.filter(F.split(F.lower(a), r"[^\p{L}]+"), lambda w: F.length(w) > 3), lambda w: w))),
-        F.array(F.lower(F.element_at(F.split(stem, "_"), 1)), F.lower(F.translate(F.regexp_replace(stem, "^[^_]*_", ""), "_", " "))),
+        F.filter(F.array(F.lower(F.try_element_at(parts, F.lit(1))), F.lower(F.array_join(F.slice(parts, 2, 99), " "))), lambda w: w != ""),
     ))
     # a scan filed under two paths has the names of both
     own = books.select("book_id", F.coalesce("sha256", "book_id").alias("file"), name.alias("names"))

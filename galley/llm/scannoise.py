@@ -1,11 +1,13 @@
 """Text from scanned pages: broken words, misread characters, running heads and page numbers; found and repaired.
 
 1. Words of all texts are counted (words broken at line ends are put together first).
-2. Every word that is not firmly established is looked up in a trie of the vocabulary with a Levenshtein automaton
-   whose edits are weighted: a known confusion of print (``rn`` for ``m``) costs little, any other edit 1.  The
-   search is complete within the bound.  The vocabulary is sharded by word length and hash, nothing is broadcast
-   here.  A word is a misreading if a much more frequent word lies near it; cost and frequency rank the candidates.
-3. Lines are told apart (running head, page number, body) with the names of the book, and body lines are searched
+2. Every word that some other word is frequent enough to explain is looked up in tries of the vocabulary with a Levenshtein
+   automaton whose edits are weighted: a known confusion of print (``rn`` for ``m``) costs little, any other edit 1.  Words
+   and entries meet by a zone: the first or the last letters of the entry.  Of the at most three edits within the bound one
+   zone or the other holds one at most, so asking with every zone one edit away misses no entry (``routes``).
+3. A word is a misreading if a much more frequent word lies near it.  Cost ranks the candidates; among equals the context of
+   the occurrence decides (how often the neighbour stands beside each candidate elsewhere), then frequency.
+4. Lines are told apart (running head, page number, body) with the names of the book, and body lines are searched
    for misread words, for moves that break the rules of notation, and for words broken by a mark.
 """
 
@@ -16,7 +18,6 @@ import unicodedata
 from collections import Counter
 from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,33 +28,66 @@ from ..session import ship, written
 CONFUSIONS = [
     ("c", "e"), ("€", "e"), ("f", "t"), ("t", "f"), ("ri", "n"), ("n", "r"), ("i", "r"), ("ii", "u"), ("0", "o"), ("rn", "m"), ("li", "h"), ("l", "i"), ("1", "l"), ("1", "i"),
     ("5", "s"), ("|", "l"), ("cl", "d"), ("!", "i"), ("!", "l"), ("vv", "w"), ("q", "g"), ("g", "q"), ("9", "g"), ("lo", "b"), ("6", "b"), ("6", "ó"), ("fi", "h"), ("fi", "n"), ("|c", "k"), ("v", "y"), ("y", "v"),
-    ("u", "ii"), ("e", "c"), ("h", "b"), ("b", "h"), ("a", "o"), ("o", "a"), ("u", "n"), ("n", "u"), ("m", "rn"), ("d", "cl"), ("h", "li"), ("8", "B"), ("@", "a"), ("$", "s"), ("ß", "b"), ("tl", "d"), ("nn", "m"), ("in", "m"), ("m", "in"), ("l", "t"), ("t", "l"), ("r", "t"), ("n", "fi"), ("ll", "tt"), ("h", "fi"), ("U", "ll"),
+    ("u", "ii"), ("e", "c"), ("h", "b"), ("b", "h"), ("a", "o"), ("o", "a"), ("u", "n"), ("n", "u"), ("m", "rn"), ("d", "cl"), ("h", "li"), ("8", "b"), ("@", "a"), ("$", "s"), ("ß", "b"), ("tl", "d"), ("nn", "m"), ("in", "m"), ("m", "in"), ("l", "t"), ("t", "l"), ("r", "t"), ("n", "fi"), ("ll", "tt"), ("h", "fi"),
     ("г", "т"), ("н", "и"), ("с", "е"), ("л", "д"), ("0", "о"), ("п", "н"), ("п", "л"), ("н", "п"), ("4", "ч"), ("т", "ш"), ("к", "в"), ("го", "ю"), ("3", "з"), ("и", "н"), ("е", "с"), ("о", "с"), ("6", "б"), ("ш", "щ"), ("щ", "ш"), ("ь", "ы"), ("ъ", "ь"), ("з", "э"), ("э", "з"), ("ц", "и"), ("и", "й"), ("й", "и"), ("в", "н"), ("ш", "т"), ("т", "г"), ("н", "к"), ("к", "н"), ("а", "я"), ("в", "к"), ("л", "п"), ("ьт", "ы"), ("ьі", "ы"),
 ]
 CHEAP, DEAR, BOUND = 0.3, 1.0, 1.0
 #: A misreading is at least this many times rarer than the word it stands for.
 RARER = 8
-#: Words that make up more than this share of all words are not looked up.
-FIRM = 2e-4
-#: Vocabulary entries and looked-up words of one task at most, about; the number of shards follows the data.
+#: Vocabulary entries and looked-up words of one task at most, about; the number of tasks follows the data.
 SHARD_ENTRIES, SHARD_WORDS = 50_000, 20_000
 #: A table of misread words of at most this many rows goes to every worker; a larger one is joined by shuffling.
 SMALL = 200_000
 
-#: Letters by which a word and its right form may differ in length: one for each edit within the bound.
-GROWTH = int(BOUND / CHEAP + 1e-9) * max(1, *(abs(len(a) - len(b)) for a, b in CONFUSIONS))
+#: Edits within the bound, and letters by which a word and its right form may differ in length.
+EDITS = int(BOUND / CHEAP + 1e-9)
+GROWTH = EDITS * max(1, *(abs(len(a) - len(b)) for a, b in CONFUSIONS))
+#: Letters of an entry's zone, if the entry is long enough for two that no edit of two letters can touch at once.
+ZONE = 3
 
 _by_read: dict[str, list[str]] = {}
 for _a, _b in CONFUSIONS:
     _by_read.setdefault(_a, []).append(_b)
-_reads = [(k, v) for k, v in _by_read.items()]
+_by_read_back = {k[::-1]: [v[::-1] for v in vs] for k, vs in _by_read.items()}
+
+
+def zone_of(size: int) -> int:
+    """Letters of the zones of an entry of ``size`` letters."""
+    return min(ZONE, (size - 1) // 2) if size > 2 else 0
+
+
+def reach(word: str, k: int, reads: dict[str, list[str]]) -> set[str]:
+    """The first ``k`` letters of all entries from which ``word`` differs there by one cheap edit at most."""
+    out = {word[:k]} if len(word) >= k else set()
+    for i in range(min(k, len(word))):
+        for read in {word[i], word[i : i + 2]}:
+            for was in reads.get(read, ()):
+                made = word[:i] + was + word[i + len(read) :]
+                if len(made) >= k:
+                    out.add(made[:k])
+    return out
+
+
+def routes(word: str) -> list[str]:
+    """Where a word is looked up: f (front) or b (back), the zone's letters, the zone.  With EDITS = 3 edits of at most two
+    letters and zones that no edit spans, one zone is touched by one cheap edit at most, or no dear one."""
+    sizes = {zone_of(n) for n in range(max(1, len(word) - GROWTH), len(word) + GROWTH + 1)}
+    back = word[::-1]
+    return [f"f{k}{z}" for k in sizes for z in reach(word, k, _by_read)] + [f"b{k}{z}" for k in sizes if k for z in reach(back, k, _by_read_back)]
+
+
+def entry_routes(entry: str) -> list[str]:
+    k = zone_of(len(entry))
+    return [f"f{k}{entry[:k]}"] + ([f"b{k}{entry[::-1][:k]}"] if k else [])
 
 
 class Trie:
-    """A vocabulary as nested dictionaries; '' holds the count at the end of a word."""
+    """A vocabulary as nested dictionaries; '' holds the count at the end of a word.  ``reads``: for each misread sign or two
+    what it was."""
 
-    def __init__(self, words):
+    def __init__(self, words, reads: dict[str, list[str]] = _by_read):
         self.root: dict = {}
+        self.reads = reads
         for w, n in words:
             at = self.root
             for c in w:
@@ -81,7 +115,7 @@ class Trie:
                     todo.append((i + 1, made + c, node[c], cost))
                 if cost + CHEAP <= bound:
                     for read in (c, word[i : i + 2]):
-                        for was in _by_read.get(read, ()):
+                        for was in self.reads.get(read, ()):
                             at = node
                             for x in was:
                                 at = at.get(x)
@@ -163,6 +197,11 @@ def odd_key(token: str) -> str:
     return token.strip("\"'“”„«»‘’()[]{}.,;:?…*").rstrip("!").lower()
 
 
+def key_of(token: str) -> str:
+    """What a token is counted and looked up by."""
+    return core(token).lower() if shape(token) == "word" else odd_key(token)
+
+
 def lines_of(text: str) -> list[str]:
     return [x.rstrip("\r") for x in text.split("\n")]
 
@@ -311,15 +350,6 @@ def count_words(text: str | None, names: list[str], page: int | None, into: Coun
                 into[odd_key(w)] += 1
 
 
-def is_broken(left: str, mark: str, right: str, counts: dict[str, int], compounds: dict[str, int]) -> bool:
-    """A break by a mark that is not part of the word; a compound broken after its own hyphen is none."""
-    if mark != "-":
-        return True
-    if not right:
-        return core(left).lower() not in counts
-    return joined(left, right, True) not in compounds
-
-
 #: Signs and digits that stand in no word.
 _strange = re.compile(r"[^\W\d_][^\w\s'’.,;:/()-]+[^\W\d_]|\d[^\W\d_]{2}|[^\W\d_]{2}\d|[€$^&@£§¥#<>~|\\{}]|!(?=\w)")
 
@@ -362,9 +392,10 @@ def _where(w: tuple[str, str], bad, i: int, j: int) -> list[int]:
     return [i] if k < len(left) else [j]
 
 
-def repaired(text: str | None, names: list[str], page: int | None, bad: dict[str, str], compounds) -> str | None:
-    """Continuous paragraphs: no page furniture, broken words whole, misread words right.  NULL stays NULL.  Damaged
-    moves stay as read: their right form cannot be told from the text alone."""
+def repaired(text: str | None, names: list[str], page: int | None, bad: dict[str, str], compounds, beside: dict | None = None) -> str | None:
+    """Continuous paragraphs: no page furniture, broken words whole, misread words right: as the neighbours on either side
+    have it (``beside``: (word, neighbour) to right word), else as ``bad`` has it.  NULL stays NULL.  Damaged moves stay as
+    read: their right form cannot be told from the text alone."""
     if not text:
         return text
     lines = lines_of(text)
@@ -395,16 +426,19 @@ def repaired(text: str | None, names: list[str], page: int | None, bad: dict[str
         if i in cuts:
             glue = True
 
-    def fix(w: str) -> str:
-        key = core(w).lower() if shape(w) == "word" else odd_key(w)
+    def fix(w: str, before: str, after: str) -> str:
+        key = key_of(w)
         right = bad.get(key)
         if right is None:
             return w
+        if beside:
+            told = [x for x in (beside.get((key, key_of(y))) for y in (before, after) if y) if x]
+            right = told[0] if told and told.count(told[0]) == len(told) else right
         at = w.lower().find(key)
         head, old, tail = w[:at], w[at : at + len(key)], w[at + len(key) :]
         return head + (right.upper() if old.isupper() and len(old) > 1 else right.capitalize() if old[:1].isupper() else right) + tail
 
-    return "\n\n".join(" ".join(map(fix, p)) for p in paragraphs if p)
+    return "\n\n".join(" ".join(map(fix, p, ["", *p], [*p[1:], ""])) for p in paragraphs if p)
 
 
 # ---- over all texts ----
@@ -430,78 +464,167 @@ def vocabulary(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def misreadings(words: DataFrame) -> DataFrame:
-    """(word, right, n): every word that a much more frequent word explains, with the best explanation: least cost,
-    then most frequent, then first in order."""
-    pure = F.col("word").rlike(r"^\p{L}+([-'’]\p{L}+)*$")
-    length = F.length("word")
-    total = words.agg(F.sum("n")).head()[0] or 0
-    entry = (F.col("n") >= RARER) & pure & (length >= 2)
-    rare = F.col("n") <= FIRM * total
-    sizes = words.agg(F.count_if(entry).alias("v"), F.count_if(rare).alias("a")).head()
-    shards, parts = -(-sizes["v"] // SHARD_ENTRIES) or 1, -(-sizes["a"] // SHARD_WORDS) or 1
-    # a task looks up one part of the words of about one length in one shard of the entries of that length
-    spread = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
-    own = lambda n: F.pmod(F.xxhash64("word"), F.lit(n)).cast("int")
-    vocab = words.where(entry).select(length.alias("size"), own(shards).alias("shard"), F.explode(spread(parts)).alias("part"), "word", "n")
-    asked = words.where(rare).select("word", "n", own(parts).alias("part"), F.explode(F.sequence(F.greatest(length - GROWTH, F.lit(2)), length + GROWTH)).alias("size")).select("size", F.explode(spread(shards)).alias("shard"), "part", "word", "n")
-
-    def search(key, ask: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(ask) and len(have):
-            trie = Trie(zip(have["word"], have["n"]))
-            for w, n in zip(ask["word"], ask["n"]):
-                pure_word = _word.match(w) is not None
-                for v, cost, k in trie.near(w):
-                    if v == w or k < RARER * n:
-                        continue
-                    if cost >= DEAR and pure_word and (len(w) < 6 or len(v) != len(w) or k < 40 * n):
-                        continue
-                    if len(w) <= 3 and (cost > CHEAP or k < 20 * n) or cost > CHEAP and pure_word and (len(w) < 7 or k < 40 * n):
-                        continue
-                    rows.append((w, v, cost, k, n))
-        return pd.DataFrame(rows, columns=["word", "right", "cost", "k", "n"])
+def bound_of(word: str) -> float:
+    """What the best explanation of a word may cost: a short plain word takes one known confusion."""
+    return CHEAP if len(word) < 7 and _word.match(word) else BOUND
+
 
+def explains(word: str, n: int, right: str, cost: float, k: int) -> bool:
+    """A word seen ``n`` times is a misreading of ``right``, seen ``k`` times: only if that is much more frequent, the more so
+    the dearer or the shorter."""
+    if right == word or k < RARER * n or cost > bound_of(word):
+        return False
+    plain = _word.match(word) is not None
+    if cost >= DEAR and plain and len(right) != len(word) or cost > CHEAP and plain and k < 40 * n:
+        return False
+    return len(word) > 3 or cost <= CHEAP and k >= 20 * n
+
+
+def candidates(words: DataFrame) -> DataFrame:
+    """(word, right, cost, k, n): every word of (word, n) with all that explain it; complete within the bound.  Words and
+    entries are sent to their routes; the routes of a task are searched trie by trie.  A route asked by very many words is
+    cut into parts that all have its entries."""
     ship(words.sparkSession)
-    found = asked.groupBy("size", "shard", "part").cogroup(vocab.groupBy("size", "shard", "part")).applyInPandas(search, "word string, right string, cost double, k bigint, n bigint")
+    top = words.where(F.col("word").rlike(r"^\p{L}+([-'’]\p{L}+)*$") & (F.length("word") >= 2)).agg(F.max("n").alias("top")).head()["top"] or 0
+
+    def send(batches):
+        for b in batches:
+            rows: dict[str, list] = {"route": [], "asked": [], "word": [], "n": []}
+            for w, n in zip(b.column("word").to_pylist(), b.column("n").to_pylist()):
+                entry = n >= RARER and len(w) >= 2 and _word.match(w)
+                for asked, ways in ((True, routes(w) if RARER * n <= top else []), (False, entry_routes(w) if entry else [])):
+                    rows["route"] += ways
+                    rows["asked"] += [asked] * len(ways)
+                    rows["word"] += [w] * len(ways)
+                    rows["n"] += [n] * len(ways)
+            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("route", pa.string()), ("asked", pa.bool_()), ("word", pa.string()), ("n", pa.int64())]))
+
+    sent = words.mapInArrow(send, "route string, asked boolean, word string, n bigint")
+    load = sent.groupBy("route").agg(F.count_if("asked").alias("asks"), F.count_if(~F.col("asked")).alias("entries")).where("asks > 0 and entries > 0")
+    # routes that nobody asks or answers fall away here; of the others, the parts
+    ways = written(load.select("route", F.ceil(F.col("asks") / SHARD_WORDS).cast("int").alias("parts"), "entries"), "routes")
+    total = ways.agg(F.sum(F.col("entries") * F.col("parts")).alias("e")).head()["e"] or 0
+    tasks = max(words.sparkSession.sparkContext.defaultParallelism, -(-int(total) // SHARD_ENTRIES))
+    met = sent.join(ways.select("route", "parts"), "route")
+    part = F.when(F.col("asked"), F.array(F.pmod(F.xxhash64("word"), F.col("parts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+    spread = met.select("route", F.explode(part).alias("part"), "asked", "word", "n").withColumn("task", F.pmod(F.xxhash64("route", "part"), F.lit(tasks)).cast("int"))
+
+    def search(table: pa.Table) -> pa.Table:
+        own: dict[tuple[str, int], tuple[list, list]] = {}
+        for way, k, asked, w, n in zip(*(table.column(c).to_pylist() for c in ("route", "part", "asked", "word", "n"))):
+            own.setdefault((way, k), ([], []))[0 if asked else 1].append((w, n))
+        out: dict[str, list] = {"word": [], "right": [], "cost": [], "k": [], "n": []}
+        for (way, _), (asked, entries) in own.items():
+            turn = 1 if way[0] == "f" else -1
+            trie = Trie(((v[::turn], k) for v, k in entries), _by_read if turn == 1 else _by_read_back)
+            for w, n in asked:
+                for v, cost, k in trie.near(w[::turn], bound_of(w)):
+                    if explains(w, n, v[::turn], cost, k):
+                        for c, x in zip(out, (w, v[::turn], cost, k, n)):
+                            out[c].append(x)
+        return pa.Table.from_pydict(out, schema=pa.schema([("word", pa.string()), ("right", pa.string()), ("cost", pa.float64()), ("k", pa.int64()), ("n", pa.int64())]))
+
+    found = spread.groupBy("task").applyInArrow(search, "word string, right string, cost double, k bigint, n bigint")
+    return found.groupBy("word", "right").agg(F.min("cost").alias("cost"), F.max("k").alias("k"), F.max("n").alias("n"))
+
+
+def misreadings(words: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """(word, right, n): every word that a much more frequent word explains, with the best explanation without regard to
+    context: least cost, then most frequent, then first in order."""
+    found = candidates(words) if found is None else found
     best = F.min_by("right", F.struct("cost", (-F.col("k")).alias("k"), "right"))
     return found.groupBy("word").agg(best.alias("right"), F.max("n").alias("n"))
 
 
-def _lists(words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    bad = written(misreadings(words), "misread")
-    own = words.where(F.col("word").contains("-") & (F.col("n") >= 2)).join(bad.select("word"), "word", "left_anti").select("word")
-    return bad, own
+def neighbours(texts: DataFrame) -> DataFrame:
+    """(word, near, n): how often words stand side by side in body text, each pair from both sides."""
+    ship(texts.sparkSession)
+
+    def run(batches):
+        total: Counter = Counter()
+        for b in batches:
+            for t, names, page in zip(b.column("text").to_pylist(), b.column("names").to_pylist(), b.column("page").to_pylist()):
+                lines = lines_of(t or "")
+                kinds = furniture(lines, names or [], page) if len(lines) > 1 else ["body"]
+                row = [key_of(joined(*w, False) if isinstance(w, tuple) else w) for _, w, _ in tokens_of(lines, kinds)]
+                for x, y in zip(row, row[1:]):
+                    total[x, y] += 1
+                    total[y, x] += 1
+            if len(total) > 500_000:
+                yield pa.RecordBatch.from_pydict({"word": [x for x, _ in total], "near": [y for _, y in total], "n": list(total.values())})
+                total = Counter()
+        if total:
+            yield pa.RecordBatch.from_pydict({"word": [x for x, _ in total], "near": [y for _, y in total], "n": list(total.values())})
+
+    return texts.mapInArrow(run, "word string, near string, n bigint")
+
+
+def in_context(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """(word, near, right): for words with several explanations of least cost, the one that stands beside ``near`` most often
+    elsewhere; only where some does.  ``found``: (word, right, cost, k, n)."""
+    least = found.groupBy("word").agg(F.min("cost").alias("cost"))
+    even = found.join(least, ["word", "cost"]).select("word", "right", "k")
+    several = even.groupBy("word").agg(F.count("*").alias("m")).where("m > 1").select("word")
+    open_ = written(even.join(several, "word"), "open")
+    if open_.isEmpty():
+        return open_.select("word", F.lit("").alias("near"), "right")
+    wanted = open_.select("word").union(open_.select("right")).distinct()
+    beside = written(neighbours(texts).join(wanted, "word", "left_semi").groupBy("word", "near").agg(F.sum("n").alias("n")), "beside")
+    ask = open_.join(beside.select("word", "near"), "word")
+    told = ask.join(beside.select(F.col("word").alias("right"), "near", F.col("n").alias("often")), ["right", "near"])
+    return told.groupBy("word", "near").agg(F.max_by("right", F.struct("often", "k", "right")).alias("right"))
+
+
+def _lists(texts: DataFrame, words: DataFrame, context: bool) -> DataFrame:
+    """(word, right, near): misread words with their right forms, those that a neighbour decides with it; compounds of
+    their own with right NULL."""
+    found = written(candidates(words), "explained")
+    bad = misreadings(words, found)
+    own = words.where(F.col("word").contains("-") & (F.col("n") >= 2)).join(found.select("word").distinct(), "word", "left_anti")
+    none = F.lit(None).cast("string")
+    out = bad.select("word", "right", none.alias("near")).unionByName(own.select("word", none.alias("right"), none.alias("near")))
+    if context:
+        out = out.unionByName(in_context(texts, found).select("word", "right", "near"))
+    return written(out, "misread")
+
+
+def _known(rows) -> tuple[dict[str, str], set[str], dict[tuple[str, str], str]]:
+    bad, own, beside = {}, set(), {}
+    for r in rows:
+        if r["right"] is None:
+            own.add(r["word"])
+        elif r["near"] is None:
+            bad[r["word"]] = r["right"]
+        else:
+            beside[r["word"], r["near"]] = r["right"]
+    return bad, own, beside
 
 
-def _apply(texts: DataFrame, words: DataFrame, f, kind: str) -> DataFrame:
-    """``f(text, names, page, bad, compounds)`` for each text.  The lists of misread words and of compounds go to all
-    workers if they are small; else each text gets its own part of them by a join."""
+def _apply(texts: DataFrame, words: DataFrame, f, kind: str, context: bool = False) -> DataFrame:
+    """``f(text, names, page, bad, compounds)`` for each text, with the contexts as well if ``context``.  The lists go to all
+    workers if they are small (their rows are counted first); else each text gets its own part of them by a join."""
     spark = texts.sparkSession
     ship(spark)
-    bad, own = _lists(words)
-    small = bad.limit(SMALL + 1).count() <= SMALL and own.limit(SMALL + 1).count() <= SMALL
+    lists = _lists(texts, words, context)
     fields = ["src", "rec_id"]
-    if small:
-        lists = spark.sparkContext.broadcast(({r["word"]: r["right"] for r in bad.collect()}, {r["word"] for r in own.collect()}))  # at most SMALL rows each
+    if lists.limit(SMALL + 1).count() <= SMALL:
+        shared = spark.sparkContext.broadcast(_known(lists.collect()))  # at most SMALL rows
         rows = texts
 
         def run(batches):
-            b_, c_ = lists.value
+            known = shared.value[: 3 if context else 2]
             for b in batches:
-                yield from _batch(b, [f(t, n or [], p, b_, c_) for t, n, p in zip(*(b.column(x).to_pylist() for x in ("text", "names", "page")))], kind)
+                yield from _batch(b, [f(t, n or [], p, *known) for t, n, p in zip(*(b.column(x).to_pylist() for x in ("text", "names", "page")))], kind)
     else:
         each = texts.select("src", "rec_id", F.explode(F.array_distinct(keys_of(texts))).alias("word")).distinct()
-        both = bad.select("word", "right").unionByName(own.select("word", F.lit(None).cast("string").alias("right")))
-        part = each.join(both, "word").groupBy("src", "rec_id").agg(F.collect_list(F.struct("word", "right")).alias("lists"))
+        part = each.join(lists, "word").groupBy("src", "rec_id").agg(F.collect_list(F.struct("word", "right", "near")).alias("lists"))
         rows = texts.join(part, fields, "left")
 
         def run(batches):
             for b in batches:
                 out = []
                 for t, n, p, x in zip(*(b.column(c).to_pylist() for c in ("text", "names", "page", "lists"))):
-                    known = {e["word"]: e["right"] for e in x or []}
-                    out.append(f(t, n or [], p, {k: v for k, v in known.items() if v is not None}, {k for k, v in known.items() if v is None}))
+                    out.append(f(t, n or [], p, *_known(x or [])[: 3 if context else 2]))
                 yield from _batch(b, out, kind)
 
     return rows.mapInArrow(run, f"src string, rec_id bigint, {kind}")
@@ -543,4 +666,4 @@ def faults(texts: DataFrame, words: DataFrame | None = None) -> DataFrame:
 def repair(texts: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """(src, rec_id, text) with every text repaired."""
     words = words if words is not None else written(vocabulary(texts), "vocabulary")
-    return _apply(texts, words, repaired, "text string")
+    return _apply(texts, words, repaired, "text string", context=True)

@@ -93,3 +93,43 @@ def test_words_of_all_lengths_are_looked_up(spark):
     assert found(spark, ("0f", 1), ("of", 400)) == [("0f", "of")]
     long = "donaudampfschifffahrtsgesellschaftskapitaen"
     assert found(spark, (long.replace("gesell", "gcsell"), 1), (long, 400)) == [(long.replace("gesell", "gcsell"), long)]
+
+
+def test_routes_miss_nothing(spark):
+    """The routed search against the automaton over the whole vocabulary, for every word of a random corpus."""
+    import random
+
+    rnd = random.Random(5)
+    entries = sorted({"".join(rnd.choices("abcdehilmnrtu", k=rnd.randint(1, 9))) for _ in range(500)} | {"many", "momentum", "burnturned", "clear", "mmm", "uu", "b"})
+    asked = [w.replace("m", "rn", 2).replace("u", "ii", 1).replace("d", "cl") for w in entries] + [w[:-1] + "x" for w in entries] + [w[1:] for w in entries if len(w) > 1]
+    trie = S.Trie((w, 50) for w in entries)
+    for w in asked:
+        mine, ways = {v for v, _, _ in trie.near(w)}, set(S.routes(w))
+        assert all(ways & set(S.entry_routes(v)) for v in mine), w
+    words = {w: 1 for w in asked if w} | {w: 50 for w in entries}
+    want = {(w, v) for w, n in words.items() for v, cost, k in trie.near(w, S.bound_of(w)) if len(v) >= 2 and S.explains(w, n, v, cost, k)}
+    got = {(r["word"], r["right"]) for r in S.candidates(spark.createDataFrame(list(words.items()), "word string, n bigint")).collect()}
+    assert got == want and want
+
+
+def test_corpus_size_does_not_matter(spark, monkeypatch):
+    for scale in (1, 1000):
+        assert found(spark, ("positiou", scale), ("position", 400 * scale), firm=600 * scale) == [("positiou", "position")]
+    monkeypatch.setattr(S, "SHARD_WORDS", 1)  # every asked route is cut into parts
+    assert found(spark, ("positiou", 1), ("posilion", 1), ("position", 400)) == [("posilion", "position"), ("positiou", "position")]
+
+
+def test_context_ranks(spark):
+    """rnoon: moon and room print alike; the neighbour decides, and frequency where none is known."""
+    rows = [("n", i, "the full moon rose. ", [], None) for i in range(30)] + [("n", 100 + i, "a large noon table. ", [], None) for i in range(40)]
+    rows += [("n", 200, "the full uoon rose. ", [], None), ("n", 201, "a large uoon table. ", [], None), ("n", 202, "some uoon somewhere", [], None)]
+    assert {v for v, _, _ in S.Trie([("moon", 30), ("noon", 40)]).near("uoon", S.CHEAP)} == {"noon"}
+    monkey = [*S.CONFUSIONS]
+    text = {r["rec_id"]: r["text"] for r in S.repair(spark.createDataFrame(rows, S.TEXTS)).collect()}
+    assert text[201].startswith("a large noon") and S.CONFUSIONS == monkey
+    found_ = spark.createDataFrame([("uoon", "noon", 0.3, 40, 3), ("uoon", "moon", 0.3, 30, 3)], "word string, right string, cost double, k bigint, n bigint")
+    told = {(r["word"], r["near"]): r["right"] for r in S.in_context(spark.createDataFrame(rows, S.TEXTS), found_).collect()}
+    assert told == {("uoon", "full"): "moon", ("uoon", "rose"): "moon", ("uoon", "large"): "noon", ("uoon", "table"): "noon"}
+    bad, beside = {"uoon": "noon"}, told
+    assert S.repaired("the full uoon rose.", [], None, bad, set(), beside) == "the full moon rose."
+    assert S.repaired("some uoon somewhere", [], None, bad, set(), beside) == "some noon somewhere"
