@@ -4,6 +4,10 @@ The schema is read as a graph: a struct reached once from its parent is inlined
 that repeats (an array) gets a table; element types that several parents have in common (such as a box of numbers)
 share one table.  Every table carries the key of the root and the places (1-based) of the elements on the way down,
 which together are its primary key; without the last place they are the foreign key to the parent's row.
+
+An array may also be placed: its elements are structs of PLACE and ITEM, and PLACE is the number to carry.  So elements
+stored under keys keep them, however far apart, and no seat is built for a key that nobody has.  Column types of a table
+cannot be recursive, so neither is the graph.
 """
 
 from __future__ import annotations
@@ -15,6 +19,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+PLACE, ITEM = "__no", "__item"
+
+
+def _element(kind: T.ArrayType) -> tuple[T.DataType, bool]:
+    """What an array holds, and whether its elements carry their own places."""
+    inner = kind.elementType
+    if isinstance(inner, T.StructType) and inner.names == [PLACE, ITEM]:
+        return inner[ITEM].dataType, True
+    return inner, False
+
+
 @dataclass
 class Node:
     """A table of the result: where its rows lie and what is inlined in it."""
@@ -26,7 +41,7 @@ class Node:
     parent: str | None = None
 
 
-def _graph(schema: T.StructType, name: str, path: tuple[str, ...], parent: str | None, out: list[Node], found: dict) -> None:
+def _graph(schema: T.StructType, name: str, path: tuple[str, ...], parent: str | None, out: list[Node], found: dict, placed: set) -> None:
     node = Node(name, path, parent=parent)
     out.append(node)
 
@@ -36,10 +51,12 @@ def _graph(schema: T.StructType, name: str, path: tuple[str, ...], parent: str |
             if isinstance(f.dataType, T.StructType):
                 walk(f.dataType, at)
             elif isinstance(f.dataType, T.ArrayType):
-                inner = f.dataType.elementType
+                inner, own = _element(f.dataType)
                 here = (*path, ".".join(at))
+                if own:
+                    placed.add(here)
                 if isinstance(inner, T.StructType):
-                    _graph(inner, f.name, here, name, out, found)
+                    _graph(inner, f.name, here, name, out, found, placed)
                 else:
                     found.setdefault((f.name, inner.simpleString()), []).append((here, name))
             else:
@@ -48,13 +65,14 @@ def _graph(schema: T.StructType, name: str, path: tuple[str, ...], parent: str |
     walk(schema, ())
 
 
-def schema_graph(schema: T.StructType, root: str) -> tuple[list[Node], dict[tuple[str, str], list[tuple[tuple[str, ...], str]]]]:
-    """The tables of ``schema``, and the repeated scalars by name and type with all their places; those with more
-    than one place are shared."""
+def schema_graph(schema: T.StructType, root: str) -> tuple[list[Node], dict[tuple[str, str], list[tuple[tuple[str, ...], str]]], set[tuple[str, ...]]]:
+    """The tables of ``schema``; the repeated scalars by name and type with all their places, of which those with more
+    than one place are shared; and the paths of placed arrays."""
     out: list[Node] = []
     found: dict = {}
-    _graph(schema, root, (), None, out, found)
-    return out, found
+    placed: set = set()
+    _graph(schema, root, (), None, out, found, placed)
+    return out, found, placed
 
 
 def _steps(c: Column, steps: tuple[str, ...] | str) -> Column:
@@ -68,7 +86,7 @@ def shared_inline(df: DataFrame, key: str, root: str, numbers: dict[str, str] |
     ``<name>_no``).  NULL arrays and empty arrays give no rows; a NULL struct element gives none either, but keeps
     its place; NULL scalars are kept as rows with NULL ``value``.  Column names that clash with the keys get the
     table's name in front.  Nothing is shuffled; each table is a projection of ``df`` with explodes."""
-    nodes, scalars = schema_graph(T.StructType([f for f in df.schema.fields if f.name != key]), root)
+    nodes, scalars, placed = schema_graph(T.StructType([f for f in df.schema.fields if f.name != key]), root)
     numbers = numbers or {}
 
     def number(step: str) -> str:
@@ -82,7 +100,10 @@ def shared_inline(df: DataFrame, key: str, root: str, numbers: dict[str, str] |
         at, names = df.select(*cols, _steps_top(path[0]).alias("__a")), [key]
         for i, step in enumerate(path):
             nr = number(step)
-            at = at.select(*names, F.posexplode("__a").alias("__p", "__e")).select(*names, (F.col("__p") + 1).alias(nr), F.col("__e"))
+            if path[: i + 1] in placed:
+                at = at.select(*names, F.explode("__a").alias("__x")).select(*names, F.col("__x")[PLACE].alias(nr), F.col("__x")[ITEM].alias("__e"))
+            else:
+                at = at.select(*names, F.posexplode("__a").alias("__p", "__e")).select(*names, (F.col("__p") + 1).alias(nr), F.col("__e"))
             names.append(nr)
             last = i + 1 == len(path)
             if not (last and keep_null):
@@ -145,12 +166,13 @@ def _get(v: Column, kind: str, path: str = "$") -> Column:
 
 def _entries(v: Column, single: str) -> Column:
     """array<struct<no, item variant>> of a list, of an object with numbers as keys, of a JSON text of either, or of
-    one object standing alone, which has the field ``single``."""
+    one object standing alone, which has the field ``single``.  Numbers are those of the keys, 0 too; one beyond the range
+    of int is NULL.  Keys that are no numbers have no place and give nothing."""
     v = F.coalesce(F.try_parse_json(_get(v, "string")), v)
     listed = F.transform(_get(v, "array<variant>"), lambda x, i: F.struct((i + 1).alias("no"), x.alias("item")))
     pairs = F.map_entries(_get(v, "map<string,variant>"))
     alone = F.when(F.exists(pairs, lambda p: p["key"] == single), F.array(F.struct(F.lit(1).alias("no"), v.alias("item"))))
-    keyed = F.transform(F.filter(pairs, lambda p: p["key"].rlike("^[0-9]{1,9}$")), lambda p: F.struct(p["key"].cast("int").alias("no"), p["value"].alias("item")))
+    keyed = F.transform(F.filter(pairs, lambda p: p["key"].rlike("^[0-9]+$")), lambda p: F.struct(p["key"].try_cast("int").alias("no"), p["value"].alias("item")))
     return F.coalesce(listed, alone, keyed)
 
 
@@ -163,37 +185,54 @@ def _box(v: Column) -> Column:
 
 def _value(v: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.ArrayType):
-        return _placed(_entries(v, "char"), kind.elementType) if isinstance(kind.elementType, T.StructType) else _box(v)
+        return _read(_entries(v, "char"), kind.elementType) if isinstance(kind.elementType, T.StructType) else _box(v)
     return _get(v, kind.simpleString())
 
 
-def _placed(entries: Column, kind: T.StructType) -> Column:
-    """The objects of ``entries`` as an array in which each has its own place; places nobody has are NULL."""
+def _read(entries: Column, kind: T.StructType) -> Column:
+    """The objects of ``entries`` as a placed array; what is no object is a NULL item."""
 
     def item(x: Column) -> Column:
         whole = F.struct(*(_value(_get(x, "variant", f"$.{f.name}"), f.dataType).alias(f.name) for f in kind.fields))
         return F.when(_get(x, "map<string,variant>").isNotNull(), whole)
 
-    seats = F.transform(entries, lambda e: F.struct(e["no"].alias("no"), item(e["item"]).alias("item")))
-    dense = F.transform(seats, lambda e: e["item"])
-    top = F.array_max(F.transform(entries, lambda e: e["no"]))
-    in_place = F.forall(F.transform(entries, lambda e, i: e["no"] == i + 1), lambda ok: ok)
-    spread = F.transform(F.sequence(F.lit(1), top), lambda k: F.try_element_at(F.transform(F.filter(seats, lambda e: e["no"] == k), lambda e: e["item"]), F.lit(1)))
-    return F.when(F.size(entries) == 0, F.array().cast(T.ArrayType(kind))).when(in_place, dense).otherwise(spread)
+    return F.transform(entries, lambda e: F.struct(e["no"].alias(PLACE), item(e["item"]).alias(ITEM)))
+
+
+def as_placed(c: Column, kind: T.ArrayType) -> Column:
+    """A stored array of structs as a placed one, inner arrays too."""
+
+    def item(x: Column) -> Column:
+        deep = [f for f in kind.elementType.fields if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)]
+        whole = F.struct(*(as_placed(x[f.name], f.dataType).alias(f.name) if f in deep else x[f.name].alias(f.name) for f in kind.elementType.fields))
+        return F.when(x.isNotNull(), whole) if deep else x
+
+    return F.transform(c, lambda x, i: F.struct((i + 1).alias(PLACE), item(x).alias(ITEM)))
+
+
+def _found(v: Column, name: str, depth: int) -> Column:
+    """The field ``name`` of an object or, if it has none, of the first object inside it that has, ``depth`` levels down."""
+    own = _get(v, "variant", f"$.{name}")
+    if not depth:
+        return own
+    inside = F.transform(F.map_values(_get(v, "map<string,variant>")), lambda x: _found(x, name, depth - 1))
+    return F.coalesce(own, F.try_element_at(F.filter(inside, lambda x: x.isNotNull()), F.lit(1)))
+
+
+#: Objects around the records of a payload.
+WRAPPED = 4
 
 
 def payload_records(payload: Column, kind: T.StructType = RECORD) -> Column:
-    """The records in a JSON payload of any of the known shapes, as array of ``kind``; NULL for a payload that is
-    NULL, not whole JSON, or without records.  Elements keep their places; NULL elements stay NULL."""
-    v = F.try_parse_json(payload)
-    records = F.coalesce(_get(v, "variant", "$.records"), _get(v, "variant", "$.page.words.records"), _get(v, "variant", "$.words.records"), _get(v, "variant", "$.page.records"))
-    return _placed(_entries(records, "bbox"), kind)
+    """The records in a JSON payload as placed array of ``kind``, wherever up to WRAPPED objects deep they lie; NULL for a
+    payload that is NULL, not whole JSON, or without records.  Elements keep their places; NULL elements stay NULL."""
+    return _read(_entries(_found(F.try_parse_json(payload), "records", WRAPPED), "bbox"), kind)
 
 
 def word_records(words: DataFrame, kind: T.StructType = RECORD, others: tuple[str, ...] = (), once: bool = True) -> DataFrame:
-    """(word_id, ``others``, records): stored records, or those of the payload where none are stored; words sent
-    again count once, unless ``once`` is False."""
+    """(word_id, ``others``, records): stored records, or those of the payload where none are stored, as placed arrays;
+    words sent again count once, unless ``once`` is False."""
     stored = F.col("records")
-    records = F.when(stored.isNotNull(), stored).otherwise(payload_records(F.col("payload"), kind))
+    records = F.when(stored.isNotNull(), as_placed(stored, T.ArrayType(kind))).otherwise(payload_records(F.col("payload"), kind))
     out = words.select("word_id", *others, records.alias("records"))
     return out.dropDuplicates(["word_id"]) if once else out

@@ -293,5 +293,14 @@ def test_payload_records(spark):
     assert all(sorted(x["v"]) == [1.0, 2.0, 3.0, 4.0] for x in boxes.collect())
     assert {x["similarity"] for x in flat["characters"].collect()} == {0.5}
     assert flat["words"].count() == 11
+    # keys as stored (0, far apart, leading zeros, beyond int), records under names nobody foresaw, names that are no places
+    odd = [
+        (21, {"records": {"0": r, "1": r}}), (22, {"records": {"0": r}}), (23, {"records": {"999999999": r, "7": None, "007": {"characters": {"0": c, "2000000000": c}}}}), (24, {"data": {"x": {"records": [r]}}}),
+        (25, {"records": {"99999999999": r, "x": r}}), (26, [r]), (27, {"records": "[1, null, {}]"}),
+    ]
+    more = spark.createDataFrame([(i, json.dumps(p), None) for i, p in odd], df.schema)
+    got = nested.shared_inline(nested.word_records(more), "word_id", "words", {"records": "record_no", "characters": "char_no"})
+    assert rows(got["records"], "word_id", "record_no") == sorted([(21, 0), (21, 1), (22, 0), (23, 999999999), (23, 7), (24, 1), (25, None), (27, 3)], key=repr)
+    assert rows(got["characters"].where("word_id = 23"), "record_no", "char_no") == sorted([(999999999, 1), (999999999, 3), (7, 0), (7, 2000000000)], key=repr)
     empty = nested.shared_inline(nested.word_records(df.limit(0)), "word_id", "words")
     assert all(x.count() == 0 for x in empty.values())
