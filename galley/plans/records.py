@@ -80,7 +80,18 @@ _CHARS = (
     "SELECT word_id, record_no, CAST(char_no AS INT) AS char_no FROM (SELECT word_id, record_no, generate_subscripts(r.characters, 1) AS char_no, unnest(r.characters) AS c FROM s WHERE r IS NOT NULL) WHERE c IS NOT NULL "
     "UNION ALL SELECT word_id, record_no, x.no AS char_no FROM h WHERE json_type(x.item) = 'OBJECT'"
 )
+_TEXTS = ("kind", "reading", "original_word", "replacement", "style", "symbol", "profile")
+_RECORDS = (
+    "SELECT word_id, record_no, " + ", ".join(f"r.{f} AS {f}" for f in (*_TEXTS, "changed", "line", "similarity")) + " FROM s WHERE r IS NOT NULL UNION ALL SELECT word_id, record_no, "
+    + ", ".join(f"item ->> '$.{f}'" for f in _TEXTS) + ", TRY_CAST(item ->> '$.changed' AS BOOLEAN), TRY_CAST(item ->> '$.line' AS INT), TRY_CAST(item ->> '$.similarity' AS DOUBLE) FROM o"
+)
+_CHAR_FIELDS = (
+    "SELECT word_id, record_no, CAST(char_no AS INT) AS char_no, c.char AS char, c.similarity AS similarity FROM (SELECT word_id, record_no, generate_subscripts(r.characters, 1) AS char_no, unnest(r.characters) AS c FROM s WHERE r IS NOT NULL) WHERE c IS NOT NULL "
+    "UNION ALL SELECT word_id, record_no, x.no, x.item ->> '$.char', TRY_CAST(x.item ->> '$.similarity' AS DOUBLE) FROM h WHERE json_type(x.item) = 'OBJECT'"
+)
 SQL: dict[str, str] = {
+    "p2_records": f"WITH {_ONCE}, {_STORED}, {_PAYLOAD} {_RECORDS}",
+    "p2_characters": f"WITH {_ONCE}, {_STORED}, {_PAYLOAD} {_CHAR_FIELDS}",
     "p2_found": f"WITH {_ONCE}, {_STORED}, {_PAYLOAD} {_CHARS}",
     "p2_words": "SELECT DISTINCT word_id, text, expected, width, height, samples, source.book AS source_book, source.file_page AS source_file_page, source.dpi AS source_dpi FROM bold_source_words",
     "p2_crops": "WITH w AS (SELECT word_id, any_value(source.bbox_pixels) AS b FROM bold_source_words GROUP BY word_id) SELECT word_id, CAST(generate_subscripts(b, 1) AS INT) AS place, unnest(b) AS value FROM w WHERE b IS NOT NULL",
