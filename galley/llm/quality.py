@@ -2,7 +2,8 @@
 
 Every line gets an observation (one of SYMBOLS) from counts of its characters and words; a hidden Markov model
 over the lines of a document, with the states prose, list, table and junk, finds the likeliest sequence of
-states; a document's kind is the state that holds most of its characters, prose only with at least half.
+states; a document's kind is the state that holds most of its characters, prose only with at least half.  The model's
+probabilities were fitted by Baum-Welch (``fit``) on the line symbols of one bounded sample.
 """
 
 from __future__ import annotations
@@ -19,28 +20,33 @@ from .encode import parts
 
 STATES = ("prose", "list", "table", "junk")
 SYMBOLS = ("running", "tail", "entry", "short", "cells", "debris", "code", "decoding", "repeat")
-#: Rows: states; columns: symbols.
-EMIT = np.log(np.array([
+#: Where fitting begins: what each state is meant to show.  Rows: states; columns: symbols.
+GUESS_START = np.array([0.55, 0.2, 0.15, 0.1])
+GUESS_STEP = np.where(np.eye(4, dtype=bool), 0.9, 0.1 / 3)
+GUESS_EMIT = np.array([
     [0.700, 0.130, 0.020, 0.080, 0.020, 0.004, 0.012, 0.004, 0.020],
     [0.050, 0.020, 0.560, 0.330, 0.010, 0.002, 0.012, 0.002, 0.004],
     [0.010, 0.010, 0.050, 0.050, 0.850, 0.010, 0.010, 0.002, 0.002],
     [0.008, 0.004, 0.004, 0.020, 0.020, 0.290, 0.290, 0.170, 0.190],
-]))
-START = np.log(np.array([0.55, 0.2, 0.15, 0.1]))
-STAY = 0.9
-STEP = np.log(np.where(np.eye(4, dtype=bool), STAY, (1 - STAY) / 3))
+])
 PARTS = 1_000_000
+#: A list of common words may be so long; it goes to all workers.
+MOST_COMMON = 100_000
 #: White space and characters that print nothing; a line of these is blank.
 UNSEEN = " \t\v\f\x00\x1c\x1d\x1e\x1f\x85\xa0\xad\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u200c\u200d\u200e\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
 
 LOWER, UPPER, DIGIT, SPACE, NEWLINE, STOP, CELL, COMMA, SIGN, MARK, WRONG, HIGH, VOWEL = (1 << k for k in range(13))
 
 
+#: Code points with classes of their own: all planes that hold letters; beyond them everything is a sign.
+KNOWN = 0x40000
+
+
 def _classes() -> np.ndarray:
-    """A bit set of character classes for each code point of the basic plane; others count as signs."""
-    out = np.zeros(65536 + 1, np.uint16)
-    out[65536] = SIGN
-    for i in range(65536):
+    """A bit set of character classes for each code point below KNOWN, and one for all others."""
+    out = np.zeros(KNOWN + 1, np.uint16)
+    out[KNOWN] = SIGN
+    for i in range(KNOWN):
         c = chr(i)
         kind = unicodedata.category(c)
         if kind[0] == "L":
@@ -75,6 +81,58 @@ def _classes() -> np.ndarray:
     return out
 
 
+def fit(lines: dict[bytes, int], rounds: int = 12, weight: float = 20.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, step and emission probabilities by Baum-Welch from symbol sequences of documents (int8 bytes) and their counts;
+    the guesses count as ``weight`` observations a row, so that nothing becomes impossible."""
+    start, step, emit = GUESS_START, GUESS_STEP, GUESS_EMIT / GUESS_EMIT.sum(1, keepdims=True)
+    prior = [weight * x for x in (start, step, emit)]
+    for _ in range(rounds):
+        s, t, e = (x.copy() for x in prior)
+        for key, n in lines.items():
+            x = np.frombuffer(key, np.int8)
+            ahead, behind, scale = np.zeros((len(x), 4)), np.ones((len(x), 4)), np.zeros(len(x))
+            for i in range(len(x)):
+                a = (ahead[i - 1] @ step if i else start) * emit[:, x[i]]
+                scale[i] = a.sum()
+                ahead[i] = a / scale[i]
+            for i in range(len(x) - 2, -1, -1):
+                behind[i] = step @ (emit[:, x[i + 1]] * behind[i + 1]) / scale[i + 1]
+            state = ahead * behind
+            s += n * state[0]
+            for k in range(4):
+                e[k] += n * np.bincount(x, weights=state[:, k], minlength=emit.shape[1])
+            t += n * np.einsum("ti,ij,tj->ij", ahead[:-1], step, emit[:, x[1:]].T * behind[1:] / scale[1:, None])
+        start, step, emit = s / s.sum(), t / t.sum(1, keepdims=True), e / e.sum(1, keepdims=True)
+    return start, step, emit
+
+
+def sequences(texts: list[str | None], common: frozenset[str]) -> dict[bytes, int]:
+    """Symbol sequences of texts with their counts, for ``fit``."""
+    m, doc = measure(texts, common)
+    out: dict[bytes, int] = {}
+    if len(doc):
+        symbols = observe(m).astype(np.int8)
+        for part in np.split(symbols, np.flatnonzero(np.diff(doc)) + 1):
+            out[part.tobytes()] = out.get(part.tobytes(), 0) + 1
+    return out
+
+
+#: Fitted on all 10,000 documents of one synthetic table, a bounded sample; see ``fit``.
+START = np.log(np.array([0.5748, 0.1594, 0.1449, 0.1209]))
+STEP = np.log(np.array([
+    [0.9975, 0.0001, 0.0025, 0.0001],
+    [0.0001, 0.9999, 0.0001, 0.0001],
+    [0.0097, 0.0001, 0.9902, 0.0001],
+    [0.0001, 0.0001, 0.0001, 0.9997],
+]))
+EMIT = np.log(np.array([
+    [0.9078, 0.0684, 0.0001, 0.0232, 0.0001, 0.0001, 0.0001, 0.0001, 0.0005],
+    [0.0001, 0.0001, 0.8105, 0.1892, 0.0001, 0.0001, 0.0001, 0.0001, 0.0002],
+    [0.0001, 0.0001, 0.0001, 0.0002, 0.9995, 0.0002, 0.0001, 0.0001, 0.0001],
+    [0.0001, 0.0001, 0.0001, 0.0045, 0.0075, 0.365, 0.3764, 0.0291, 0.2174],
+]))
+
+
 _table: list[np.ndarray] = []
 
 
@@ -93,7 +151,7 @@ def measure(texts: list[str | None], common: frozenset[str]) -> tuple[dict[str,
     if not lines:
         return {}, doc
     code = np.frombuffer(("\n".join(lines) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
-    kind = _table[0][np.minimum(code, 65536)]
+    kind = _table[0][np.minimum(code, KNOWN)]
     end = np.flatnonzero(kind & NEWLINE)
     begin = np.concatenate([[0], end[:-1] + 1])
 
@@ -234,7 +292,10 @@ def statistics(df: DataFrame, common: DataFrame, id_col: str = "doc_id", text_co
     count, since ``lang`` is often wrong.  One pass, no shuffle."""
     spark = df.sparkSession
     ship(spark)
-    known = frozenset(r["word"] for r in common.select("word").where("word is not null").distinct().collect())  # a fixed list
+    words = common.select("word").where("word is not null").distinct().limit(MOST_COMMON + 1).collect()
+    if len(words) > MOST_COMMON:
+        raise ValueError(f"more than {MOST_COMMON} common words: a list of common words is fixed and short")
+    known = frozenset(r["word"] for r in words)
     shared = spark.sparkContext.broadcast(known)
     pairs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 

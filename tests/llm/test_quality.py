@@ -39,3 +39,29 @@ def test_viterbi_smooths():
 
     assert set(quality.viterbi(np.array([run, run, run, cell, run, run]))) == {0}
     assert list(quality.viterbi(np.array([run, run, run, *[cell] * 6]))) == [0, 0, 0, *[2] * 6]
+
+
+def test_fit_learns_what_was_planted():
+    """Baum-Welch on drawn sequences comes nearer to the model they were drawn from than the guesses are."""
+    import numpy as np
+
+    rnd = np.random.RandomState(4)
+    emit = quality.GUESS_EMIT / quality.GUESS_EMIT.sum(1, keepdims=True)
+    emit[2] = [0.02, 0.02, 0.02, 0.30, 0.60, 0.01, 0.01, 0.01, 0.01]
+    lines = {}
+    for _ in range(600):
+        state, seq = rnd.choice(4, p=quality.GUESS_START), []
+        for _ in range(12):
+            seq.append(rnd.choice(9, p=emit[state]))
+            state = state if rnd.rand() < 0.97 else rnd.choice(4)
+        key = np.array(seq, np.int8).tobytes()
+        lines[key] = lines.get(key, 0) + 1
+    start, step, got = quality.fit(lines)
+    assert abs(got - emit).max() < 0.06 and abs(start.sum() - 1) < 1e-9 and (np.diag(step) > 0.93).all()
+    guess = quality.GUESS_EMIT / quality.GUESS_EMIT.sum(1, keepdims=True)
+    assert abs(got[2] - emit[2]).sum() < abs(guess[2] - emit[2]).sum() / 2
+
+
+def test_letters_of_all_planes(spark):
+    got = table(spark, ["𝒜𝒷𝒸 \U00010400\U00010428 \U00020000\U00020001"])
+    assert got[0]["symbol_share"] == 0.0
