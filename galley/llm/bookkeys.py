@@ -39,12 +39,35 @@ def book_key(c: Column) -> Column:
 
 
 def persons(author: Column) -> Column:
-    """Surnames in an author field, folded; order, case, accents and initials do not matter.  NULL and placeholders
-    give an empty array."""
+    """array<struct<words, sure>> of the persons in an author field, folded: the words of the name without initials, sorted,
+    and whether they are the surname alone: one word, or what stands before a comma.  NULL and placeholders give none."""
     each = F.split(folded(author), r"\s*(?:[;&/+]|\band\b|\bund\b)\s*")
-    surname = F.transform(each, lambda p: F.array_join(F.array_sort(F.filter(F.split(F.regexp_replace(p, "[^a-zа-яё'-]+", " "), " +"), lambda w: F.length(F.regexp_replace(w, "['-]", "")) > 1)), " "))
-    named = F.filter(surname, lambda s: (s != "") & ~s.isin(*PLACEHOLDERS))
-    return F.coalesce(F.array_distinct(named), F.array().cast("array<string>"))
+    letters = lambda p: F.filter(F.split(F.regexp_replace(p, "[^a-zа-яё'-]+", " "), " +"), lambda w: F.length(F.regexp_replace(w, "['-]", "")) > 1)
+
+    def person(p: Column) -> Column:
+        head = letters(F.element_at(F.split(p, ","), 1))
+        comma = p.contains(",") & (F.size(head) > 0)
+        own = F.when(comma, head).otherwise(letters(p))
+        return F.struct(own.alias("words"), (comma | (F.size(own) == 1)).alias("sure"))
+
+    named = F.filter(F.transform(each, person), lambda x: (F.size(x["words"]) > 0) & ~F.array_join(F.array_sort(x["words"]), " ").isin(*PLACEHOLDERS) & ~F.array_join(x["words"], " ").isin(*PLACEHOLDERS))
+    return F.coalesce(F.array_distinct(named), named, F.array().cast("array<struct<words: array<string>, sure: boolean>>"))
+
+
+def surnames(books: DataFrame) -> DataFrame:
+    """(book_id, surname) of all persons of ``books``; order, case, accents, initials and given names do not matter.  A name
+    of several words without a comma is a surname if the whole is known as one elsewhere, else the one word of it that is;
+    failing that, the last word."""
+    each = books.select("book_id", F.explode(persons(F.col("author"))).alias("p")).select("book_id", "p.words", "p.sure")
+    whole = F.array_join(F.array_sort("words"), " ")
+    sure = each.where("sure").select("book_id", whole.alias("surname"))
+    known = sure.select(F.col("surname").alias("part")).distinct()
+    unsure = each.where("not sure").select("words", whole.alias("whole")).distinct()
+    parts = F.array_distinct(F.concat(F.array("whole"), "words"))
+    told = unsure.select("whole", "words", F.explode(parts).alias("part")).join(known.withColumn("known", F.lit(True)), "part", "left")
+    names = told.groupBy("words", "whole").agg(F.bool_or((F.col("part") == F.col("whole")) & F.col("known")).alias("all"), F.collect_set(F.when(F.col("known") & (F.col("part") != F.col("whole")), F.col("part"))).alias("of"))
+    pick = F.when(F.coalesce("all", F.lit(False)), F.col("whole")).when(F.size("of") == 1, F.element_at("of", 1)).otherwise(F.element_at("words", -1))
+    return sure.unionByName(each.where("not sure").join(names.select("words", pick.alias("surname")), "words").select("book_id", "surname")).distinct()
 
 
 def _deletions(key: Column) -> Column:

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Buckets the dynamic programme may use.
 BUCKETS = 64
+#: Items that one task ranks, about; the number of salts follows the count.
+RANKED = 100_000
 
 
 def optimal_buckets(sizes: np.ndarray, counts: np.ndarray, most: int = BUCKETS) -> np.ndarray:
@@ -86,7 +88,7 @@ def plan(bounds: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[in
     return out
 
 
-def pack(sizes: DataFrame, capacity: int, id_col: str = "doc_id", size_col: str = "n_tokens", buckets: int = BUCKETS, salts: int = 32) -> DataFrame:
+def pack(sizes: DataFrame, capacity: int, id_col: str = "doc_id", size_col: str = "n_tokens", buckets: int = BUCKETS) -> DataFrame:
     """(id, piece, size, bin, n_pieces): every item in a bin of ``capacity``; only an item larger than the
     capacity is cut, into full pieces and a rest.  NULL sizes and sizes of 0 or less take no space and get bin
     NULL; ties go by id; rows repeated with the same id are items of their own."""
@@ -104,14 +106,32 @@ def pack(sizes: DataFrame, capacity: int, id_col: str = "doc_id", size_col: str
     of = np.searchsorted(bounds, size)
     rows = plan(bounds, np.bincount(of, weights=count, minlength=len(bounds)).astype(np.int64), capacity)
     table = F.broadcast(spark.createDataFrame(rows, "bucket int, from_rank bigint, to_rank bigint, first_bin bigint, per_bin bigint, slot int"))
+    salts = max(1, -(-int(count.max()) // RANKED), -(-int(count.sum()) // (RANKED * len(bounds))))
     edges = [int(b) for b in bounds]
     step = F.lit(0)
     for b in edges[:-1]:
         step = step + (F.col("size") > b).cast("int")
     salted = pieces.withColumn("bucket", step).withColumn("salt", F.pmod(F.xxhash64("id", "piece"), F.lit(salts)).cast("int"))
-    # ranks over all salts: counts of the groups before, at most buckets * salts rows, plus the rank within the group
+    # ranks over all salts: counts of the groups before plus the rank within the group
     before = salted.groupBy("bucket", "salt").count().withColumn("before", F.coalesce(F.sum("count").over(Window.partitionBy("bucket").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    ranked = salted.withColumn("own", F.row_number().over(Window.partitionBy("bucket", "salt").orderBy(F.desc("size"), "id", "piece")) - 1).join(F.broadcast(before), ["bucket", "salt"]).withColumn("rank", F.col("own") + F.col("before"))
+    ranked = salted.withColumn("own", F.row_number().over(Window.partitionBy("bucket", "salt").orderBy(F.desc("size"), "id", "piece")) - 1).join(before, ["bucket", "salt"]).withColumn("rank", F.col("own") + F.col("before"))
     placed = ranked.join(table, (ranked["bucket"] == table["bucket"]) & (F.col("rank") >= F.col("from_rank")) & (F.col("rank") < F.col("to_rank")))
     done = placed.select("id", "n_pieces", "piece", "size", (F.col("first_bin") + F.floor((F.col("rank") - F.col("from_rank")) / F.col("per_bin"))).cast("bigint").alias("bin"))
     return done.unionByName(empty).select(F.col("id").alias(id_col), "piece", "size", "bin", "n_pieces")
+
+
+def check(placed: DataFrame, sizes: DataFrame, capacity: int, id_col: str = "doc_id", size_col: str = "n_tokens") -> DataFrame:
+    """One row on a packing of ``sizes`` (ids unique) in bins of ``capacity``: items placed, items without size, items cut,
+    items whose pieces do not add up to their size or are cut without need, bins over capacity, and whether the bins used are
+    at most a twentieth more than the total size needs."""
+    own = sizes.select(F.col(id_col).alias("id"), F.coalesce(F.col(size_col).cast("bigint"), F.lit(0)).alias("n"))
+    pieces = placed.select(F.col(id_col).alias("id"), "bin", F.col("size").cast("bigint").alias("size"))
+    item = pieces.groupBy("id").agg(F.sum("size").alias("got"), F.count("*").alias("pieces"), F.count("bin").alias("binned"))
+    both = own.join(item, "id", "full")
+    items = both.agg(
+        F.count_if(F.col("binned") > 0).alias("placed"), F.count_if(F.coalesce(F.col("binned"), F.lit(0)) == 0).alias("without_size"), F.count_if(F.col("pieces") > 1).alias("cut"),
+        F.count_if(~F.coalesce((F.col("got") == F.greatest("n", F.lit(0))) & ((F.col("pieces") == 1) | (F.col("n") > capacity)), F.lit(False))).alias("wrong"),
+    )
+    bins = pieces.where("bin is not null").groupBy("bin").agg(F.sum("size").alias("used"))
+    use = bins.agg(F.count_if(F.col("used") > capacity).alias("overfull"), F.coalesce(F.count("*") <= F.ceil(F.sum("used") / capacity * 1.05) + 1, F.lit(True)).alias("dense"))
+    return items.withColumn("one", F.lit(1)).join(use.withColumn("one", F.lit(1)), "one").drop("one")  # one row each

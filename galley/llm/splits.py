@@ -68,17 +68,16 @@ def in_proportion(component: Column, plan: list[tuple[str, float]], seed: int =
 
 
 def book_groups(books: DataFrame) -> DataFrame:
-    """(book_id, group_book): books linked by equal sha256 or a shared author, directly or through others."""
-    from .bookkeys import persons
-
-    entity = F.concat(
-        F.when(F.trim("sha256") != "", F.array(F.concat(F.lit("file:"), F.lower(F.trim("sha256"))))).otherwise(F.array().cast("array<string>")),
-        F.transform(persons(F.col("author")), lambda p: F.concat(F.lit("person:"), p)),
-    )
-    # a book's own node sorts before entities, so that the smallest node of a component is its smallest book
-    links = books.where("book_id is not null").select(F.concat(F.lit("book:"), "book_id").alias("a"), F.explode_outer(entity).alias("b"))
-    found = components(links)
-    return found.where(F.col("node").startswith("book:")).select(F.expr("substring(node, 6)").alias("book_id"), F.expr("substring(component, 6)").alias("group_book"))
+    """(book_id, group_book): books linked by equal sha256 or a shared author, directly or through others.  Each file and
+    surname links its books with the smallest of them, so the link list holds books only."""
+    from .bookkeys import surnames
+
+    own = books.where("book_id is not null").select("book_id", "sha256", "author")
+    files = own.where(F.trim("sha256") != "").select("book_id", F.concat(F.lit("file:"), F.lower(F.trim("sha256"))).alias("entity"))
+    entity = files.unionByName(surnames(own).select("book_id", F.concat(F.lit("person:"), "surname").alias("entity")))
+    least = entity.groupBy("entity").agg(F.min("book_id").alias("b"))
+    links = entity.join(least, "entity").select(F.col("book_id").alias("a"), "b").unionByName(own.select(F.col("book_id").alias("a"), F.lit(None).cast(own.schema["book_id"].dataType).alias("b")))
+    return components(links).select(F.col("node").alias("book_id"), F.col("component").alias("group_book"))
 
 
 def record_groups(clipped: DataFrame, classic: DataFrame, books: DataFrame) -> DataFrame:

@@ -46,7 +46,20 @@ def test_keys(spark):
     assert [r[0] for r in df.select(bookkeys.book_key(df["n"]).alias("k")).collect()] == [None if k is None else k.replace(" ", "") for _, k in names]
     people = [("Sorvová, C. & Z.Grimano", ["grimano", "sorvova"]), ("C.SORVOVA", ["sorvova"]), ("-", []), ("various", []), (None, []), ("Pellöder E; I. Jasková", ["jaskova", "pelloder"]), ("?", []), ("H.Mirvholt and V. Haldik", ["haldik", "mirvholt"])]
     df = spark.createDataFrame([(n,) for n, _ in people], "n string")
-    assert [sorted(r[0]) for r in df.select(bookkeys.persons(df["n"]).alias("p")).collect()] == [p for _, p in people]
+    assert [sorted(p["words"][0] for p in r[0]) for r in df.select(bookkeys.persons(df["n"]).alias("p")).collect()] == [p for _, p in people]
+
+
+def test_surnames(spark):
+    """Given names, orders, particles and surnames of two words; two different surnames stay two."""
+    people = ["B. Larsen", "Bent Larsen", "Larsen Bent", "LARSEN, Bent", "Garcia Lopez, A.", "A. Garcia Lopez", "Juan Lopez", "van Foreest, J.", "J. van Foreest", "Tal", "Talman", None, "-", "Ånd Ex & Tal"]
+    df = spark.createDataFrame([(f"b{i:02d}", a) for i, a in enumerate(people)], "book_id string, author string")
+    got = {}
+    for r in bookkeys.surnames(df).collect():
+        got.setdefault(int(r["book_id"][1:]), set()).add(r["surname"])
+    assert {k: got[k] for k in range(4)} == {k: {"larsen"} for k in range(4)}
+    assert got[4] == got[5] == {"garcia lopez"} and got[6] == {"lopez"}
+    assert got[7] == got[8] == {"foreest van"} and got[9] == {"tal"} and got[10] == {"talman"} and got[13] == {"ex", "tal"}
+    assert 11 not in got and 12 not in got
 
 
 BOOKS = [("b1", "Ruz_Silent_Vol_1.pdf", "s1", "Ruz A"), ("b2", "Ruz_Silent_Vol_2.pdf", "s2", "-"), ("b3", "scan77_x.djvu", "s2", None), ("b4", "Other_Games.djvu", "s4", "B; A. RUZ"), ("b5", "Lone_Book.pdf", "s5", "various"), ("b6", "Lane_Book.pdf", None, "various")]

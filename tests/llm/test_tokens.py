@@ -117,3 +117,32 @@ def test_pack(spark, capacity):
     assert {r["doc_id"] for r in got if r["n_pieces"] > 1} == {i for i, n in data if n and n > capacity}
     assert sum(use.values()) / (len(use) * capacity) > 0.8
     assert packing.pack(df.limit(0), capacity).count() == 0
+
+
+def first_fit(sizes, capacity):
+    """Bins of first-fit decreasing, which is at most 11/9 of the best and one."""
+    free = []
+    for s in sorted(sizes, reverse=True):
+        for i, f in enumerate(free):
+            if f >= s:
+                free[i] -= s
+                break
+        else:
+            free.append(capacity - s)
+    return len(free)
+
+
+def test_pack_against_first_fit_and_check(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANKED", 50)  # several salts
+    rnd = random.Random(9)
+    data = [(i, max(1, int(rnd.lognormvariate(4, 1)))) for i in range(1500)] + [(9000, None), (9001, 0)]
+    df = spark.createDataFrame(data, "doc_id bigint, n_tokens bigint")
+    got = packing.pack(df, 512)
+    pieces = [p for _, n in data if n for p in [512] * (n // 512) + [n % 512] * (n % 512 > 0)]
+    bins = got.where("bin is not null").select("bin").distinct().count()
+    assert bins <= 1.03 * first_fit(pieces, 512)
+    row = packing.check(got, df, 512).first()
+    assert (row["placed"], row["without_size"], row["wrong"], row["overfull"], row["dense"]) == (1500, 2, 0, 0, True)
+    broken = got.where("doc_id <> 7").withColumn("bin", F.when(F.col("bin") == 1, 0).otherwise(F.col("bin")))
+    row = packing.check(broken, df, 512).first()
+    assert row["wrong"] == 1 and row["overfull"] == 1
