@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_written: dict[str, list[str]] = {}
 
 
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -34,11 +35,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or, where that is unset, one set here (tests)."""
+    """The folder all executors share: spark.checkpoint.dir.  Where that is unset, a local session gets a folder of its own
+    (tests); a cluster has none that all executors see, so that is an error."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not found:
-        found = sc.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="galley-")
+        found = sc.getCheckpointDir()
+        if not found and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that all executors share")
+        found = found or "file://" + tempfile.mkdtemp(prefix="galley-")
         spark.conf.set("spark.checkpoint.dir", found)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
@@ -55,5 +60,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and read it back: a lineage cut that keeps column pruning."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/galley/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Delete the tables that ``written`` made in this application, and return how many; only when no result that reads
+    them is needed any more.  Called at the end of a long session or between queries."""
+    sc, paths = spark.sparkContext, _written.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        path = sc._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
