@@ -74,7 +74,7 @@ def heading_number(line: Column, scanned: bool = False) -> Column:
 
 def title_number(line: Column) -> Column:
     """The number of a plain numbered title (12. A title without further digits); NULL for other lines."""
-    first = F.element_at(words(line), 1)
+    first = F.coalesce(F.try_element_at(words(line), F.lit(1)), F.lit(""))
     rest = F.trim(F.substring(F.trim(line), F.length(first) + 1, F.length(line)))
     good = first.rlike(r"^\d{1,3}\.$") & rest.rlike(r"^\p{Lu}") & ~rest.rlike(r"\d") & F.length(rest).between(*TITLE_LENGTH)
     return F.when(good, F.regexp_extract(first, r"\d+", 0).cast("int"))
@@ -140,7 +140,7 @@ def long_rows(line: Column) -> Column:
     rest = F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0)))
     only = F.forall(rest, lambda x: x.rlike(f"^(?:{LONG_MOVE})[.!?…]*$") | x.rlike("^[.!?…—–-]+$"))
     good = F.try_element_at(w, F.lit(1)).rlike(r"^\d{1,3}\.$") & F.exists(rest, lambda x: x.rlike(LONG_MOVE)) & only
-    return F.when(good, F.regexp_extract(F.element_at(w, 1), r"\d+", 0).cast("int"))
+    return F.when(good, F.regexp_extract(F.try_element_at(w, F.lit(1)), r"\d+", 0).cast("int"))
 
 
 def mixed_row(line: Column) -> Column:

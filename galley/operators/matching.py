@@ -106,9 +106,13 @@ def mutual_best(scored: DataFrame, a: str, b: str, score: str, least: float, mar
 
 def ordinal_pairs(left: DataFrame, right: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Rows of equal keys paired by their place, where both sides have equally many."""
-    place = lambda df, n: df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).withColumn(n, F.count("*").over(Window.partitionBy(*keys)))
-    x, y = place(left, "n_left"), place(right, "n_right").withColumnRenamed(order, f"{order}_right")
-    return x.join(y, [*keys, "place"]).where("n_left = n_right").drop("n_left", "n_right")
+
+    def place(df: DataFrame, n: str) -> DataFrame:
+        own = Window.partitionBy(*keys)
+        return df.withColumn("place", F.row_number().over(own.orderBy(order))).withColumn(n, F.count("*").over(own))
+
+    x, y = place(left, "__n_left"), place(right, "__n_right").withColumnRenamed(order, f"{order}_right")
+    return x.join(y, [*keys, "place"]).where("__n_left = __n_right").drop("__n_left", "__n_right")
 
 
 def contiguous_match(tokens: DataFrame, patterns: DataFrame, on: list[str], order: str, value: str) -> DataFrame:
@@ -137,12 +141,20 @@ def gap_fill(rows: DataFrame, on: list[str], order: str, anchor: str) -> DataFra
     return rows.withColumn("anchor_before", F.last(anchor, True).over(up)).withColumn("anchor_after", F.first(anchor, True).over(down)).where(F.col(anchor).isNull())
 
 
-def full_compare(actual: DataFrame, expected: DataFrame, key: str, order: str) -> DataFrame:
-    """Full outer pairing of two lists of games: by ``key`` where it is unique on both sides, else by file order."""
-    unique = lambda df: df.groupBy(key).agg(F.count("*").alias("n")).where(f"n = 1 and {key} is not null").select(key)
-    keyed = unique(actual).intersect(unique(expected)).withColumn("__u", F.lit(True))
-    side = lambda df, name: df.join(keyed, key, "left").withColumn("pair", F.when(F.col("__u"), F.concat(F.lit("k"), F.col(key).cast("string"))).otherwise(F.concat(F.lit("o"), F.row_number().over(Window.partitionBy("__u").orderBy(order)).cast("string")))).select("pair", F.struct(*df.columns).alias(name))
-    return side(actual, "actual").join(side(expected, "expected"), "pair", "full_outer")
+def full_compare(actual: DataFrame, expected: DataFrame, key: str, order: str, on: list[str] | None = None) -> DataFrame:
+    """Full outer pairing of two lists of games: by ``key`` where it is unique on both sides, else by file order among the
+    others.  Lists are those of one file or book, ``on``; only games without a unique key are numbered."""
+    on = on or []
+    unique = lambda df: df.groupBy(*on, key).agg(F.count("*").alias("__n")).where((F.col("__n") == 1) & F.col(key).isNotNull()).select(*on, key)
+    keyed = unique(actual).join(unique(expected), [*on, key], "left_semi")
+    place = Window.partitionBy(*on).orderBy(order) if on else Window.orderBy(order)
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        own = df.join(keyed, [*on, key], "left_semi").select(*on, F.concat(F.lit("k"), F.col(key).cast("string")).alias("pair"), F.struct(*df.columns).alias(name))
+        rest = df.join(keyed, [*on, key], "left_anti").select(*on, F.concat(F.lit("o"), F.row_number().over(place).cast("string")).alias("pair"), F.struct(*df.columns).alias(name))
+        return own.unionByName(rest)
+
+    return side(actual, "actual").join(side(expected, "expected"), [*on, "pair"], "full_outer")
 
 
 def resume(previous: DataFrame, wanted: DataFrame, job: str, same: list[str]) -> tuple[DataFrame, DataFrame]:

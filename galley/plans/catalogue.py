@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import games, records, relational, text
+from . import compare, games, records, relational, text, words
 
-QUERIES: dict = {**records.QUERIES, **text.QUERIES, **relational.QUERIES, **games.QUERIES}
-SQL: dict[str, str] = {**records.SQL, **text.SQL, **relational.SQL, **games.SQL}
+QUERIES: dict = {**records.QUERIES, **text.QUERIES, **relational.QUERIES, **games.QUERIES, **compare.QUERIES, **words.QUERIES}
+SQL: dict[str, str] = {**records.SQL, **text.SQL, **relational.SQL, **games.SQL, **compare.SQL, **words.SQL}
