@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,23 +78,34 @@ def ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
+#: Rows of one key on either side that are compared in one task; a key with more is no number on a page.
+SIMILAR = 200
+
+
 def similar_rows(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str, least: float = 0.4) -> DataFrame:
     """Greedy one-to-one pairing of rows of equal keys by similarity of their texts: best pair first, each row used
     once, ties by order of the ids.  Rows: left (keys, a_id, a), right (keys, b_id, b).  Groups are rows of one number
-    on one page, a handful each."""
+    on one page, a handful each; a key with more than SIMILAR rows on a side is cut into stretches of that many in the order
+    of the ids, and row number k of one side is compared with the stretch of the other that row falls into."""
     ship(left.sparkSession)
 
-    def pair(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        out, used_a, used_b = [], set(), set()
-        scored = sorted(((-ratio(str(p[a]), str(q[b])), p["a_id"], q["b_id"]) for _, p in x.iterrows() for _, q in y.iterrows()))
+    def cut(df: DataFrame, i: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(i))
+        return df.withColumn("__stretch", F.floor((place - 1) / SIMILAR))
+
+    def pair(x: pa.Table, y: pa.Table) -> pa.Table:
+        own, other = (list(zip(t.column(i).to_pylist(), map(str, t.column(v).to_pylist()))) for t, i, v in ((x, "a_id", a), (y, "b_id", b)))
+        scored = sorted((-ratio(s, t), i, j) for i, s in own for j, t in other)
+        used_a, used_b, out = set(), set(), []
         for s, i, j in scored:
             if -s >= least and i not in used_a and j not in used_b:
                 used_a.add(i)
                 used_b.add(j)
                 out.append((i, j, -s))
-        return pd.DataFrame(out, columns=["a_id", "b_id", "ratio"])
+        return pa.table({"a_id": pa.array([r[0] for r in out], pa.int64()), "b_id": pa.array([r[1] for r in out], pa.int64()), "ratio": pa.array([r[2] for r in out], pa.float64())})
 
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda x, y: pair(x, y), "a_id bigint, b_id bigint, ratio double")
+    on = [*keys, "__stretch"]
+    return cut(left, "a_id").groupBy(*on).cogroup(cut(right, "b_id").groupBy(*on)).applyInArrow(lambda x, y: pair(x, y), "a_id bigint, b_id bigint, ratio double")
 
 
 def mutual_best(scored: DataFrame, a: str, b: str, score: str, least: float, margin: float) -> DataFrame:

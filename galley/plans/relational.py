@@ -10,13 +10,14 @@ from ..operators import sequences as S
 from ..session import table
 
 
+#: Labels whose mean vectors may travel in one row.
+LABELS = 10_000
+
+
 def event_idle_sessions(spark, d):
     """Sessions of users: a pause of more than 6 hours begins a new one."""
-    e = table(spark, d, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
-    w = Window.partitionBy("user_id").orderBy("t", "event_id")
-    g = F.coalesce(F.col("t") - F.lag("t").over(w) > 6 * 3600 * 1_000_000, F.lit(False)).cast("int")
-    s = e.withColumn("g", g).withColumn("session", F.sum("g").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return s.groupBy("user_id", "session").agg(F.count("*").alias("events"), ((F.max("t") - F.min("t")) / 1_000_000).cast("bigint").alias("seconds"))
+    e = table(spark, d, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    return S.idle_sessions(e, ["user_id"], "t", 6 * 3600 * 1_000_000).groupBy("user_id", "session").agg(F.count("*").alias("events"), ((F.max("t") - F.min("t")) / 1_000_000).cast("bigint").alias("seconds"))
 
 
 def event_depth_clamped(spark, d):
@@ -48,12 +49,18 @@ def event_props_json(spark, d):
 
 def emb_nearest_margin(spark, d):
     """The label whose mean vector is nearest to a vector, if it is ahead by a margin; queries are the ids divisible by
-    100, against the means of all rows.  The labels' means are few (their number is that of the labels)."""
-    e = table(spark, d, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("i", "x"))
-    mean = e.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    q = e.where("vec_id % 100 = 0").select("vec_id", "i", F.col("x").cast("double").alias("x"))
-    far = q.join(mean, "i").groupBy("vec_id", "label").agg(F.sum((F.col("x") - F.col("m")) ** 2).alias("d"))
-    return M.unique_best(far, ["vec_id"], F.col("d"), 1e9, 1e-3).select("vec_id", "label", F.round("d", 5).alias("d"))
+    100, against the means of all rows.  The labels' means are as few as the labels: each query meets them all in one row,
+    an array of labels and means, so vectors never come apart.  More labels than LABELS would be no such table."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
+    dims = e.select("label", F.posexplode("x").alias("i", "v")).groupBy("label", "i").agg(F.avg("v").alias("m"))
+    mean = dims.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mean"))
+    if mean.count() > LABELS:
+        raise ValueError(f"more than {LABELS} labels: their means do not fit in one row")
+    means = mean.groupBy().agg(F.collect_list(F.struct("label", "mean")).alias("means")).withColumn("one", F.lit(1))
+    q = e.where("vec_id % 100 = 0").withColumn("one", F.lit(1)).join(means, "one")
+    far = lambda s: F.aggregate(F.zip_with("x", s["mean"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, v: t + v)
+    each = q.select("vec_id", F.explode(F.transform("means", lambda s: F.struct(s["label"].alias("label"), far(s).alias("d")))).alias("f")).select("vec_id", "f.label", "f.d")
+    return M.unique_best(each, ["vec_id"], F.col("d"), 1e9, 1e-3).select("vec_id", "label", F.round("d", 5).alias("d"))
 
 
 def orders_range_join(spark, d):
@@ -70,9 +77,9 @@ def orders_full_outer(spark, d):
 
 
 def set_path_diff(spark, d):
-    """Pairs of part and supplier in common, missing and unexpected between the first and the second line items of orders."""
-    a = table(spark, d, "lineitem").where("l_linenumber = 1").select("l_partkey", "l_suppkey").distinct()
-    b = table(spark, d, "lineitem").where("l_linenumber = 2").select("l_partkey", "l_suppkey").distinct()
+    """Pairs of part and supplier in common, missing and unexpected between the odd and the even line items of orders."""
+    a = table(spark, d, "lineitem").where("l_linenumber % 2 = 1").select("l_partkey", "l_suppkey").distinct()
+    b = table(spark, d, "lineitem").where("l_linenumber % 2 = 0").select("l_partkey", "l_suppkey").distinct()
     part = lambda df, n: df.agg(F.count("*").alias("n")).select(F.lit(n).alias("part"), "n")
     return part(a.intersect(b), "common").unionByName(part(a.exceptAll(b), "missing")).unionByName(part(b.exceptAll(a), "unexpected"))
 
@@ -151,7 +158,7 @@ SQL = {
     "emb_nearest_margin": "WITH e AS (SELECT vec_id, label, generate_subscripts(embedding, 1) AS i, unnest(embedding) AS x FROM embeddings), m AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS m FROM e GROUP BY 1, 2), f AS (SELECT vec_id, m.label, sum((CAST(x AS DOUBLE) - m) * (CAST(x AS DOUBLE) - m)) AS d FROM e JOIN m USING (i) WHERE vec_id % 100 = 0 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER w AS k, lead(d) OVER w AS nx FROM f WINDOW w AS (PARTITION BY vec_id ORDER BY d)) SELECT vec_id, label, round(d, 5) AS d FROM r WHERE k = 1 AND (nx IS NULL OR nx - d >= 0.001)",
     "orders_range_join": "SELECT c_custkey, count(*) AS n, min(o_orderkey) AS first_order FROM orders JOIN customer ON o_totalprice BETWEEN c_acctbal AND c_acctbal + 100 WHERE c_acctbal > 0 GROUP BY c_custkey",
     "orders_full_outer": "WITH o AS (SELECT o_custkey AS key, count(*) AS orders FROM orders GROUP BY 1), c AS (SELECT c_custkey AS key, 1 AS c FROM customer WHERE c_mktsegment <> 'BUILDING') SELECT CASE WHEN c IS NULL THEN 'only_orders' WHEN orders IS NULL THEN 'only_customer' ELSE 'both' END AS side, count(*) AS n, CAST(coalesce(sum(orders), 0) AS BIGINT) AS orders FROM o FULL JOIN c ON o.key = c.key GROUP BY 1",
-    "set_path_diff": "WITH a AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_linenumber = 1), b AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_linenumber = 2) SELECT 'common' AS part, count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'missing', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'unexpected', count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)",
+    "set_path_diff": "WITH a AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_linenumber % 2 = 1), b AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_linenumber % 2 = 0) SELECT 'common' AS part, count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'missing', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'unexpected', count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)",
     "cust_unique_match": "WITH c AS (SELECT c_custkey, c_nationkey AS nation, CAST(floor(c_acctbal / 100) AS BIGINT) AS band, count(*) OVER (PARTITION BY c_nationkey, floor(c_acctbal / 100)) AS n FROM customer) SELECT s_suppkey, c_custkey FROM supplier JOIN c ON s_nationkey = nation AND CAST(floor(s_acctbal / 100) AS BIGINT) = band WHERE n = 1",
     "part_fuzzy_numbers": "SELECT a.p_brand, count(*) AS pairs FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey WHERE levenshtein(CAST(a.p_size AS VARCHAR), CAST(b.p_size AS VARCHAR)) = 1 GROUP BY 1",
     "tree_frontier": "WITH c AS (SELECT n_regionkey, n_nationkey, c_custkey, c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000) AS has FROM customer JOIN nation ON c_nationkey = n_nationkey), u AS (SELECT *, bool_or(has) OVER (PARTITION BY n_nationkey) AS nh, bool_or(has) OVER (PARTITION BY n_regionkey) AS rh FROM c) SELECT CASE WHEN NOT rh THEN 'region' WHEN NOT nh THEN 'nation' ELSE 'customer' END AS level, count(*) AS customers FROM u WHERE NOT has GROUP BY 1",

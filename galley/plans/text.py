@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import lines as L
 from ..functions import notation as N
 from ..operators import matching as M
+from ..operators import nested
 from ..operators import pages as P
 from ..operators import sequences as S
 from ..session import table
+from . import records as stored
 
 BLANK = r"[ \n\t\r]+"
 
@@ -32,12 +34,17 @@ def doc_lines_profile(spark, d):
 
 
 def doc_header_clean(spark, d):
-    """Lines left per language after repeated first lines went, the shape of a book without running heads."""
-    top = _doc_lines(spark, d).withColumn("key", F.regexp_replace("line", "^[0-9 ]+|[0-9 ]+$", ""))
-    head = top.where((F.col("line_no") <= 2) & (F.length("key") < 80) & (F.size(_words(F.col("key"))) >= 2))
+    """Lines left per language after repeated first lines went, the shape of a book without running heads.  Texts are cut into
+    lines once; only the first two lines of each meet the repeated ones."""
+    split = F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", "lang", split.alias("l"))
+    top = docs.select("doc_id", F.posexplode(F.slice("l", 1, 2)).alias("at", "line")).withColumn("key", F.regexp_replace("line", "^[0-9 ]+|[0-9 ]+$", ""))
+    head = top.where((F.length("key") < 80) & (F.size(_words(F.col("key"))) >= 2))
     often = head.groupBy("key").agg(F.countDistinct("doc_id").alias("docs")).where("docs >= 2").select("key")
-    heads = head.join(often, "key", "left_semi").select("doc_id", "line_no")
-    return top.join(heads, ["doc_id", "line_no"], "left_anti").groupBy(F.coalesce("lang", F.lit("?")).alias("lang")).agg(F.countDistinct("doc_id").alias("docs"), F.count("*").alias("lines"), F.sum(F.size(_words(F.col("line")))).alias("words"))
+    drop = head.join(often, "key").groupBy("doc_id").agg(F.count("*").alias("gone"), F.sum(F.size(_words(F.col("line")))).alias("gone_words"))
+    left = docs.select("doc_id", "lang", F.size("l").alias("n"), F.aggregate(F.transform("l", lambda x: F.size(_words(x))), F.lit(0), lambda s, n: s + n).alias("w")).join(drop, "doc_id", "left").na.fill(0, ["gone", "gone_words"])
+    kept = left.where("n > gone").withColumn("lines", F.col("n") - F.col("gone")).withColumn("words", F.col("w") - F.col("gone_words"))
+    return kept.groupBy(F.coalesce("lang", F.lit("?")).alias("lang")).agg(F.countDistinct("doc_id").alias("docs"), F.sum("lines").alias("lines"), F.sum("words").alias("words"))
 
 
 def doc_token_kinds(spark, d):
@@ -140,9 +147,11 @@ def word_shapes(spark, d):
 
 
 def word_evidence_rollup(spark, d):
-    """Recognised, applied and changed readings per kind and style; a word sent again counts once."""
-    t = table(spark, d, "bold_source_words").where("records is not null").groupBy("word_id").agg(F.any_value("records").alias("records"))
-    r = t.select(F.explode("records").alias("r")).where("r is not null").select("r.*")
+    """Recognised, applied and changed readings per kind and style, of stored records and of payloads; a word sent again
+    counts once."""
+    keep = {"kind", "style", "changed", "reading", "symbol"}
+    raw, kind = stored.words(spark, d, keep)
+    r = nested.shared_inline(nested.word_records(raw, kind), "word_id", "words", stored.NUMBERS)["records"]
     return r.groupBy(F.coalesce("kind", F.lit("figurine")).alias("kind"), F.coalesce("style", F.lit("none")).alias("style")).agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.col("changed"), F.lit(False))).alias("changed"), F.count_if(F.coalesce(F.col("reading") == "whole_word", F.lit(False))).alias("whole"), F.count_if(F.col("symbol").isNotNull()).alias("figurines"))
 
 
@@ -195,7 +204,7 @@ SQL = {
     "word_number_black": "SELECT DISTINCT word_id, CAST(regexp_extract(text, '^(\\d{1,3})(\\.{1,3}|…)(.*)$', 1) AS INT) AS number, regexp_extract(text, '^(\\d{1,3})(\\.{1,3}|…)(.*)$', 2) IN ('...', '…') AS black, regexp_extract(text, '^(\\d{1,3})(\\.{1,3}|…)(.*)$', 3) AS rest FROM bold_source_words WHERE regexp_matches(text, '^(\\d{1,3})(\\.{1,3}|…)(.*)$')",
     "word_nags": "WITH t AS (SELECT DISTINCT word_id, regexp_replace(text, '[.]$', '') AS text FROM bold_source_words WHERE text IS NOT NULL), m AS (SELECT regexp_replace(regexp_extract(text, '[!?+#‡†]*$', 0), '[+#‡†]', '', 'g') AS s FROM t) SELECT CASE s WHEN '!' THEN 1 WHEN '?' THEN 2 WHEN '!!' THEN 3 WHEN '??' THEN 4 WHEN '!?' THEN 5 WHEN '?!' THEN 6 END AS nag, count(*) AS n FROM m WHERE s IN ('!', '?', '!!', '??', '!?', '?!') GROUP BY 1",
     "word_shapes": "SELECT translate(text, 'OolI|tqSi', '00111fg5f') AS shape, count(*) AS words, min(text) AS first FROM (SELECT DISTINCT text FROM bold_source_words WHERE regexp_matches(text, '^[0-9A-Za-z.:+!?-]+$')) GROUP BY 1 HAVING count(*) > 1",
-    "word_evidence_rollup": "WITH t AS (SELECT word_id, any_value(records) AS records FROM bold_source_words WHERE records IS NOT NULL GROUP BY word_id), r AS (SELECT unnest(records) AS r FROM t) SELECT coalesce(r.kind, 'figurine') AS kind, coalesce(r.style, 'none') AS style, count(*) AS n, count(*) FILTER (r.changed) AS changed, count(*) FILTER (r.reading = 'whole_word') AS whole, count(*) FILTER (r.symbol IS NOT NULL) AS figurines FROM r WHERE r IS NOT NULL GROUP BY 1, 2",
+    "word_evidence_rollup": f"WITH {stored._ONCE}, {stored._STORED}, {stored._PAYLOAD}, r AS ({stored._RECORDS}) SELECT coalesce(kind, 'figurine') AS kind, coalesce(style, 'none') AS style, count(*) AS n, count(*) FILTER (changed) AS changed, count(*) FILTER (reading = 'whole_word') AS whole, count(*) FILTER (symbol IS NOT NULL) AS figurines FROM r GROUP BY 1, 2",
     "word_source_pages": "WITH p AS (SELECT DISTINCT source.book AS book, source.file_page AS page FROM bold_source_words WHERE source.file_page IS NOT NULL AND source.book IS NOT NULL), g AS (SELECT book, page - row_number() OVER (PARTITION BY book ORDER BY page) AS g FROM p), r AS (SELECT book, g, count(*) AS n FROM g GROUP BY 1, 2) SELECT book, CAST(sum(n) AS BIGINT) AS pages, max(n) AS longest_run FROM r GROUP BY book",
     "template_votes": "WITH t AS (SELECT DISTINCT template_id, profile, label FROM coordinates), n AS (SELECT profile, label, count(*) AS n FROM t WHERE label IS NOT NULL GROUP BY 1, 2), r AS (SELECT *, row_number() OVER w AS k, lead(n) OVER w AS nx FROM n WINDOW w AS (PARTITION BY label ORDER BY n DESC, profile)) SELECT profile, label, n FROM r WHERE k = 1 AND (nx IS NULL OR n - nx >= 2)",
     "clip_splits": "WITH t AS (SELECT DISTINCT clip_id, split, dpi, len(bit_rows) AS height FROM clipped_notation) SELECT split, count(*) AS clips, count(*) FILTER (height > 0) AS with_picture, count(*) FILTER (dpi = 600) AS double FROM t GROUP BY split",
