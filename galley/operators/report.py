@@ -64,6 +64,36 @@ def summary(games: DataFrame, moves: DataFrame, issues: DataFrame) -> DataFrame:
     return g.unionByName(m).unionByName(i).agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names))
 
 
+def checks(moves: DataFrame, games: DataFrame, tokens: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., game_id, code, severity, tok, page, message) of what a second look at played moves tells: a printed number that
+    is not the move's (move_number_mismatch), several readings of which one was taken (alternate_ocr), print that claims check
+    where none is given (check_mismatch), a move without a page (missing_provenance)."""
+    t = tokens.select(*keys, "tok", "kind", "text", "number", "black", "readings")
+    num = t.where("kind = 'num'").select(*keys, (F.col("tok") + 1).alias("tok"), F.col("number").alias("__n"), F.col("black").alias("__b"))
+    at = moves.select(*keys, "game_id", "tok", "page", "ply", "san").join(t.select(*keys, "tok", "text", "readings"), [*keys, "tok"]).join(num, [*keys, "tok"], "left")
+    due = F.floor((F.col("ply") + 1) / 2)
+    other = F.size(F.filter(F.coalesce("readings", F.array().cast("array<string>")), lambda r: r.isNotNull() & (r != F.col("text")))) > 0
+    claims = F.col("text").contains("+") | F.substring("text", 2, 1000).contains("#")
+    found = F.array(
+        F.when((F.col("__n") != due) | (F.col("__b") & (F.col("ply") % 2 == 1)), F.struct(F.lit("move_number_mismatch").alias("code"), F.lit("warning").alias("severity"))),
+        F.when(other, F.struct(F.lit("alternate_ocr").alias("code"), F.lit("info").alias("severity"))),
+        F.when(claims & ~F.col("san").rlike("[+#]"), F.struct(F.lit("check_mismatch").alias("code"), F.lit("warning").alias("severity"))),
+        F.when(F.col("page").isNull(), F.struct(F.lit("missing_provenance").alias("code"), F.lit("warning").alias("severity"))),
+    )
+    return at.select(*keys, "game_id", "tok", "page", F.explode(F.array_compact(found)).alias("c"), F.concat_ws(" ", "text", "san").alias("message")).select(*keys, "game_id", "c.code", "c.severity", "tok", "page", "message")
+
+
+def page_checks(pages: DataFrame, games: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., code, severity, page): pages without text (empty_page), scanned pages without a second reading
+    (ocr_unverified, if pages have ``ocr`` and ``verified``), and books without games (no_games)."""
+    flags = [F.when(F.coalesce(F.trim("text"), F.lit("")) == "", F.lit("empty_page"))]
+    if {"ocr", "verified"} <= set(pages.columns):
+        flags.append(F.when(F.col("ocr") & ~F.coalesce(F.col("verified"), F.lit(False)), F.lit("ocr_unverified")))
+    told = pages.select(*keys, F.explode(F.array_compact(F.array(*flags))).alias("code"), F.lit("warning").alias("severity"), "page")
+    none = pages.select(*keys).distinct().join(games.select(*keys), keys, "left_anti").select(*keys, F.lit("no_games").alias("code"), F.lit("error").alias("severity"), F.lit(None).cast("int").alias("page"))
+    return told.unionByName(none)
+
+
 def fingerprint(parts: DataFrame, keys: list[str]) -> DataFrame:
     """(keys..., fingerprint): an ordered hash of (name, hash) parts."""
     return parts.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "hash"))), lambda e: F.concat_ws("=", e["name"], e["hash"])), "\n"), 256).alias("fingerprint"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import lines as L
 from ..functions import moves as R
 from ..functions import notation as N
 from ..functions import raster
@@ -21,12 +22,21 @@ def _notes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "joined_notation").where("raw is not null").select(F.col("note_id").cast("string").alias("book_id"), F.coalesce("source_page", F.lit(0)).alias("page"), F.col("raw").alias("text")).distinct()
 
 
+def _note_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of notes as a scan is read: damage repaired, rows that ran together cut apart."""
+    lines = P.explode_lines(_notes(spark, d), ["book_id", "page"]).withColumn("line", N.repair_scanned(F.col("line")))
+    parts = lines.select("book_id", "page", "line_no", F.posexplode(L.glued_rows(F.col("line"))).alias("part", "line"))
+    w = Window.partitionBy("book_id").orderBy("line_no", "part")
+    return parts.select("book_id", "page", F.row_number().over(w).alias("line_no"), "line")
+
+
 def _tokens(spark: SparkSession, d: str) -> DataFrame:
-    lines = P.explode_lines(_notes(spark, d), ["book_id", "page"])
+    lines = _note_lines(spark, d)
     t = P.tokens(lines, ["book_id", "page"])
     heads = lines.where(F.col("line").rlike(r"^\s*(Game|Партия|Partie|Partida) [0-9]+$")).select("book_id", "page", "line_no", F.lit(0).alias("pos"), F.lit("boundary").alias("kind"), F.regexp_extract("line", "([0-9]+)$", 1).cast("int").alias("number"), F.lit(False).alias("black"), F.col("line").alias("text"))
     both = t.join(heads.select("book_id", "line_no"), ["book_id", "line_no"], "left_anti").unionByName(heads)
-    return both.select("book_id", (F.col("line_no") * 10_000 + F.col("pos")).cast("bigint").alias("tok"), "kind", "number", "black", "text", "page", F.col("line_no").cast("double").alias("line"), F.lit(None).cast("array<string>").alias("readings"))
+    tok = F.row_number().over(Window.partitionBy("book_id").orderBy("line_no", "pos")).cast("bigint")
+    return both.select("book_id", tok.alias("tok"), "kind", "number", "black", "text", "page", F.col("line_no").cast("double").alias("line"), F.lit(None).cast("array<string>").alias("readings"))
 
 
 def note_games(spark, d):
@@ -41,6 +51,21 @@ def note_report(spark, d):
     return report.issue_counts(G.issues_of(parsed, KEYS), KEYS).select("book_id", F.to_json("issue_counts").alias("issue_counts"), "status")
 
 
+def note_quality(spark, d):
+    """Issues of all notes by code and severity: those of the fold, of the second look at played moves, of pages, and of printed
+    moves that no game took."""
+    tokens = written(_tokens(spark, d), "tokens")
+    parsed = written(G.parse_games(tokens, KEYS, "en+ru", scanned=True), "parsed")
+    games, moves = G.games_of(parsed, KEYS), G.moves_of(parsed, KEYS)
+    loose = report.unread_moves(tokens, moves, games, KEYS, N.move_code(F.col("text")))
+    parts = [G.issues_of(parsed, KEYS), report.checks(moves, games, tokens, KEYS), report.page_checks(_notes(spark, d), games, KEYS), loose.select(F.lit("unparsed_move_candidate").alias("code"), F.lit("warning").alias("severity"))]
+    out = None
+    for x in parts:
+        x = x.select("code", "severity")
+        out = x if out is None else out.unionByName(x)
+    return out.groupBy("code", "severity").agg(F.count("*").alias("n"))
+
+
 def note_token_kinds(spark, d):
     return _tokens(spark, d).groupBy("kind").agg(F.count("*").alias("n"))
 
@@ -101,5 +126,5 @@ def template_classify(spark, d):
     return got.groupBy(F.when(F.col("label").isNull(), "none").when(F.col("label") == F.col("truth"), "right").otherwise("wrong").alias("verdict")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (note_games, note_report, note_token_kinds, note_heads, note_defects, doc_move_rows, word_first_moves, word_repairs, word_components, template_consensus, template_classify)}
+QUERIES = {f.__name__: f for f in (note_games, note_report, note_quality, note_token_kinds, note_heads, note_defects, doc_move_rows, word_first_moves, word_repairs, word_components, template_consensus, template_classify)}
 SQL: dict[str, str] = {}
