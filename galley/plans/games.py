@@ -14,6 +14,7 @@ from ..operators import games as G
 from ..operators import pages as P
 from ..operators import report
 from ..session import table, written
+from . import words as _w
 
 KEYS = ["book_id"]
 
@@ -127,4 +128,14 @@ def template_classify(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (note_games, note_report, note_quality, note_token_kinds, note_heads, note_defects, doc_move_rows, word_first_moves, word_repairs, word_components, template_consensus, template_classify)}
-SQL: dict[str, str] = {}
+_COST = "CASE WHEN {a} = {b} THEN 0.0 WHEN {a} = '?' THEN 0.3 " + " ".join(f"WHEN {{a}} || {{b}} IN ({', '.join(_w._q(x) for p in v.split() for x in (p, p[::-1]))}) THEN {k}" for k, v in N.CONFUSED.items()) + " ELSE 1.0 END"
+# a row of the distance matrix from the one before: the least of all places up to each, with what is lost on the way
+_STEP = "list_transform(range(1, m + 2), lambda j: c[j] + list_min(list_transform(range(1, j + 1), lambda k: CASE WHEN k = 1 THEN r[1] + 1 ELSE least(r[k] + 1, r[k - 1] + " + _COST.format(a="a[i + 1]", b="b[k - 1]") + ") END - c[k])))"
+_FIRST = "CASE WHEN f = 'N' THEN (t IN ('a3', 'c3') AND (y = '' OR y = 'b') OR t IN ('f3', 'h3') AND (y = '' OR y = 'g')) AND (z = '' OR z = '1') ELSE f = '' AND t[2] IN ('3', '4') AND (y = '' OR y = t[1]) AND (z = '' OR z = '2') AND (y <> '' OR z = '') END"
+SQL: dict[str, str] = {
+    "word_repairs": (
+        f"WITH RECURSIVE t AS (SELECT DISTINCT text, expected FROM bold_source_words WHERE text IS NOT NULL AND expected IS NOT NULL), s AS (SELECT text, expected, string_split({_w._shape_sql('text')}, '') AS a, string_split({_w._shape_sql('expected')}, '') AS b FROM t), "
+        "z AS (SELECT *, len(b) AS m, list_transform(range(0, len(b) + 1), lambda j: coalesce(list_sum(list_transform(b[1:j], lambda x: CASE WHEN x = 'f' THEN 0.5 ELSE 1.0 END)), 0.0)) AS c FROM s), "
+        f"d AS (SELECT text, expected, a, b, m, c, 0 AS i, list_transform(c, lambda x: CAST(x AS DOUBLE)) AS r FROM z UNION ALL SELECT text, expected, a, b, m, c, i + 1, {_STEP} FROM d WHERE i < len(a)) SELECT text, expected, round(r[m + 1], 2) AS distance FROM d WHERE i = len(a) AND r[m + 1] > 0"
+    ),
+}

@@ -15,9 +15,6 @@ from ..operators import readings as RD
 from ..operators import sequences as S
 from ..session import table
 
-W = F.col("w")
-
-
 def _words(spark: SparkSession, d: str) -> DataFrame:
     """(w, n): every distinct scanned word or extract, and how often it is there."""
     t = table(spark, d, "bold_source_words").where("text is not null").select("word_id", F.col("text").alias("w")).distinct()
@@ -37,7 +34,7 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def word_clean_forms(spark, d):
-    return _words(spark, d).select("w", N.spaces_and_dashes(W).alias("plain"), N.clean_text(W).alias("clean"), N.join_symbols(W).alias("joined"))
+    return _words(spark, d).select("w", N.spaces_and_dashes(F.col("w")).alias("plain"), N.clean_text(F.col("w")).alias("clean"), N.join_symbols(F.col("w")).alias("joined"))
 
 
 def note_clean_text(spark, d):
@@ -46,43 +43,43 @@ def note_clean_text(spark, d):
 
 def word_english(spark, d):
     """Words with the piece letters of English, read as Russian and as German print."""
-    return _words(spark, d).select("w", N.to_english(W, "ru").alias("ru"), N.to_english(W, "de").alias("de"))
+    return _words(spark, d).select("w", N.to_english(F.col("w"), "ru").alias("ru"), N.to_english(F.col("w"), "de").alias("de"))
 
 
 def word_codes(spark, d):
     """The shape of each word, and its move code."""
-    return _words(spark, d).select("w", N.shape(W).alias("shape"), N.move_code(W).alias("code"))
+    return _words(spark, d).select("w", N.shape(F.col("w")).alias("shape"), N.move_code(F.col("w")).alias("code"))
 
 
 def word_marks(spark, d):
-    return _words(spark, d).select("w", N.move_core(W).alias("core"), N.suffix(W).alias("marks"), N.nag(W).alias("nag"), N.evaluation(W).alias("evaluation"))
+    return _words(spark, d).select("w", N.move_core(F.col("w")).alias("core"), N.suffix(F.col("w")).alias("marks"), N.nag(F.col("w")).alias("nag"), N.evaluation(F.col("w")).alias("evaluation"))
 
 
 def note_results(spark, d):
     """Results and castlings among the words of notes."""
-    t = _note_words(spark, d).select("n", N.result(W).alias("result"), N.castling(W).alias("castling"))
+    t = _note_words(spark, d).select("n", N.result(F.col("w")).alias("result"), N.castling(F.col("w")).alias("castling"))
     return t.where("result is not null or castling is not null").groupBy("result", "castling").agg(F.sum("n").alias("n"))
 
 
 def word_splits(spark, d):
     """Glued evaluations and glued promotions cut apart."""
-    return _words(spark, d).select("w", F.array_join(N.split_evaluation(W), "|").alias("evaluation"), F.array_join(N.split_promotion(W), "|").alias("promotion"))
+    return _words(spark, d).select("w", F.array_join(N.split_evaluation(F.col("w")), "|").alias("evaluation"), F.array_join(N.split_promotion(F.col("w")), "|").alias("promotion"))
 
 
 def word_repaired(spark, d):
     """Single scanned words repaired."""
-    return _words(spark, d).select("w", N.repair_word(W).alias("repaired"))
+    return _words(spark, d).select("w", N.repair_word(F.col("w")).alias("repaired"))
 
 
 def note_word_repaired(spark, d):
-    t = _note_words(spark, d).select("w", N.repair_word(W).alias("repaired"), "n")
+    t = _note_words(spark, d).select("w", N.repair_word(F.col("w")).alias("repaired"), "n")
     return t.where("w <> repaired")
 
 
 def word_predicates(spark, d):
     return _words(spark, d).select(
-        "w", N.valid_notation(W).alias("valid"), N.ambiguous_pawn_rank(W).alias("vague_rank"), N.resigns(W).alias("resigns"), N.says_check(W).alias("check"), N.replaced_prefix(W, F.lit("♗")).alias("bishop"),
-        N.other_line_cue(W).alias("cue"), F.size(N.fens(W)).alias("fens"), L.sentence_end(W).alias("ends"), N.renders_pieces(W, "ru").alias("ru"), N.renders_comment(W).alias("html"), N.quoted(W).alias("quoted"),
+        "w", N.valid_notation(F.col("w")).alias("valid"), N.ambiguous_pawn_rank(F.col("w")).alias("vague_rank"), N.resigns(F.col("w")).alias("resigns"), N.says_check(F.col("w")).alias("check"), N.replaced_prefix(F.col("w"), F.lit("♗")).alias("bishop"),
+        N.other_line_cue(F.col("w")).alias("cue"), F.size(N.fens(F.col("w"))).alias("fens"), L.sentence_end(F.col("w")).alias("ends"), N.renders_pieces(F.col("w"), "ru").alias("ru"), N.renders_comment(F.col("w")).alias("html"), N.quoted(F.col("w")).alias("quoted"),
     )
 
 
@@ -143,10 +140,20 @@ def book_language(spark, d):
     return RD.page_language(S.sampled(p, ["book_id"], ["file_page", "doc_id"]), ["book_id"])
 
 
-def doc_running_heads(spark, d):
-    """Running heads of the pages of each book."""
-    p = table(spark, d, "documents").where("text is not null and book_id is not null and file_page is not null").select("book_id", F.col("file_page").alias("page"), "text")
-    return P.running_heads(P.explode_lines(p, ["book_id", "page"]))
+def note_running_heads(spark, d):
+    """Running heads of the scanned pages of each book, as logs name it."""
+    p = table(spark, d, "joined_notation").where("raw is not null and book is not null and source_page is not null").select("note_id", F.col("book").alias("book_id"), F.col("source_page").alias("page"), F.col("raw").alias("text")).distinct()
+    return P.running_heads(P.explode_lines(p, ["note_id", "book_id", "page"]))
+
+
+def doc_defects(spark, d):
+    """Signs of columns that ran together in documents: headings without a game, mixed rows, row numbers that fall back."""
+    return P.page_defects(_lines(spark, d), ["doc_id"])
+
+
+def doc_sections(spark, d):
+    """Events of the lines of documents and the numbered sections they make."""
+    return P.numbered_sections(_lines(spark, d), ["doc_id"]).groupBy("doc_id").agg(F.max("section").alias("sections"), F.count_if(F.col("event") == "game_boundary").alias("games"), F.count_if(F.col("event") == "game_result").alias("results"), F.sum("number").alias("numbers"))
 
 
 def doc_pages(spark, d):
@@ -318,8 +325,46 @@ _ROWS = (
 )
 _TOP = "top AS (SELECT DISTINCT d.book_id, d.file_page AS page, generate_subscripts(l, 1) AS line_no, unnest(l) AS line FROM (SELECT book_id, file_page, string_split(replace(replace(text, chr(13)||chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS l FROM documents WHERE text IS NOT NULL AND book_id IS NOT NULL AND file_page IS NOT NULL) d)"
 
+_OUTCOME = "regexp_matches(lower({}), 'сдал|resign|ничья|draw')"
+
+
+def _is_players(c: str) -> str:
+    parts = _SPLIT.format(_APART.replace("line", c))
+    return f"coalesce(regexp_full_match(list_aggregate(list_transform({parts}, lambda x: {_KIND}), 'string_agg', ''), '{_NAME}D?{_NAME}'), false)"
+
+
+_IS_CHAPTER = f"coalesce((lower(ws[1]) = 'глава' AND (regexp_matches(lower(ws[2]), '^[ivxlc\\d]+$') OR lower(ws[2]) IN ({', '.join(map(_q, L.ORDINALS))}))) OR (lower(ws[1]) IN ('chapter', 'kapitel', 'capítulo') AND len(ws) >= 2), false)"
+_OPENING = "(?:^|[^0-9])" + L.OPENING.removeprefix(r"(?<!\d)")
+_EVENTS = (
+    f"x AS (SELECT doc_id, line_no, line, {_LW} AS ws, regexp_matches({_TRIM}, '{_HEADING}') AS head FROM lines), y AS (SELECT *, {_IS_CHAPTER} AND NOT head AND NOT {_is_players('line')} AS chapter FROM x), "
+    "h AS (SELECT doc_id, line_no, (SELECT min(s.line_no) FROM y s WHERE s.doc_id = y.doc_id AND s.line_no > y.line_no AND (s.head OR s.chapter)) AS stop FROM y WHERE head), "
+    "f AS (SELECT h.doc_id, h.line_no, string_agg(n.line, ' ' ORDER BY n.line_no) AS t FROM h LEFT JOIN lines n ON n.doc_id = h.doc_id AND n.line_no > h.line_no AND n.line_no <= h.line_no + 25 AND (h.stop IS NULL OR n.line_no < h.stop) GROUP BY 1, 2), "
+    f"b AS (SELECT doc_id, line_no, coalesce(regexp_matches(t, '{_OPENING}') OR contains(t, '__BOARD_') OR regexp_matches(t, '{_FEN}'), false) AS game FROM f)"
+)
+_CREDIT = f"coalesce(ws[1] IN ({', '.join(map(_q, L.CREDIT_WORDS))}) AND (regexp_matches(ws[2], '^\\p{{Lu}}') OR ws[2] = 'автора'), false)"
+_DRAW = f"lower(regexp_replace(trim(line), '[.!?]$', '')) IN ({', '.join(map(_q, L.DRAW_LINES))})"
+_PAGE_LINES = "lines AS (SELECT doc_id, book_id, page, generate_subscripts(l, 1) AS line_no, unnest(l) AS line FROM (SELECT DISTINCT note_id AS doc_id, book AS book_id, source_page AS page, string_split(replace(replace(raw, chr(13)||chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS l FROM joined_notation WHERE raw IS NOT NULL AND book IS NOT NULL AND source_page IS NOT NULL))"
+
+
+def _kept(k: str) -> str:
+    return f"(length({k}) >= 80 OR regexp_matches({k}, '{_HEADING}') OR regexp_matches({k}, '\\d+\\s*\\.') OR {_OUTCOME.format(k)} OR {_is_players(k)})"
+
+
 
 SQL = {
+    "note_running_heads": (
+        f"WITH {_PAGE_LINES}, top AS (SELECT doc_id, book_id, page, line_no, line, trim(line, '0123456789–—- ' || chr(9)) AS key, {_LW} AS w FROM lines WHERE line_no <= 2 AND trim(line, ' ') <> ''), "
+        "often AS (SELECT book_id, key FROM top WHERE key <> '' GROUP BY 1, 2 HAVING count(DISTINCT page) >= 2), "
+        f"r AS (SELECT top.*, {_SPLIT.format('key')} AS ws FROM top), c AS (SELECT book_id, page, line_no, key FROM r WHERE (EXISTS (SELECT 1 FROM often o WHERE o.book_id = r.book_id AND o.key = r.key) AND len(ws) >= 2) OR {_IS_CHAPTER}), "
+        f"k AS (SELECT book_id, page, line_no FROM c WHERE NOT {_kept('key')}), "
+        "m0 AS (SELECT *, regexp_full_match(w[1], '\\d{1,4}') AND w[2] IN ('-', '–', '—') AS front, regexp_full_match(w[len(w)], '\\d{1,4}') AND w[len(w) - 1] IN ('-', '–', '—') AS back FROM top WHERE len(w) >= 4), "
+        "m1 AS (SELECT *, CAST(CASE WHEN front THEN w[1] ELSE w[len(w)] END AS INT) AS counter, array_to_string(CASE WHEN front THEN w[3:] ELSE w[1:len(w) - 2] END, ' ') AS title FROM m0 WHERE front OR back), "
+        f"m AS (SELECT * FROM m1 WHERE len({_SPLIT.format('title')}) >= 2 AND NOT {_is_players('title')} AND NOT regexp_matches(title, '\\d') AND NOT {_OUTCOME.format('title')}), "
+        "g AS (SELECT book_id, page, line_no, page - lag(page) OVER v AS b, lead(page) OVER v - page AS a FROM m WINDOW v AS (PARTITION BY book_id, counter - page ORDER BY page)) "
+        "SELECT DISTINCT book_id, page, CAST(line_no AS INT) AS line_no FROM (SELECT * FROM k UNION ALL SELECT book_id, page, line_no FROM g WHERE b BETWEEN 1 AND 2 OR a BETWEEN 1 AND 2)"
+    ),
+    "doc_defects": f"WITH {_LINES}, {_EVENTS}, o AS (SELECT doc_id, count(*) FILTER (NOT game) AS orphans FROM b GROUP BY doc_id), q AS (SELECT doc_id, count(*) FILTER (len(list_filter(ws, lambda x: regexp_full_match(x, '\\d{{1,3}}\\.'))) >= 2 AND len(list_filter(ws, lambda x: regexp_matches(x, '{_MOVE}'))) >= 3) AS mixed FROM x GROUP BY doc_id), s AS (SELECT doc_id, line_no, ws, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS sec FROM x), r AS (SELECT doc_id, sec, line_no, CAST(regexp_extract(ws[1], '\\d+') AS INT) AS n FROM s WHERE regexp_matches(ws[1], '^\\d{{1,3}}\\.$') AND len(list_filter(ws[2:], lambda x: regexp_matches(x, '{_MOVE}'))) > 0 AND len(list_filter(ws[2:], lambda x: NOT regexp_full_match(x, '(?:{_MOVE})[.!?…]*') AND NOT regexp_full_match(x, '[.!?…—–-]+'))) = 0), t AS (SELECT doc_id, n, lag(n) OVER (PARTITION BY doc_id, sec ORDER BY line_no) AS p FROM r), k AS (SELECT doc_id, count(*) FILTER (n < p - 1) AS backtracks FROM t GROUP BY doc_id) SELECT q.doc_id, coalesce(orphans, 0) AS orphans, mixed, coalesce(backtracks, 0) AS backtracks FROM q LEFT JOIN o USING (doc_id) LEFT JOIN k USING (doc_id)",
+    "doc_sections": f"WITH {_LINES}, {_EVENTS}, e AS (SELECT y.doc_id, y.line_no, coalesce(b.game, false) AS game, y.chapter OR (NOT head AND NOT {_is_players('y.line')} AND NOT chapter AND {_CREDIT}) AS ends, NOT head AND NOT {_is_players('y.line')} AND NOT chapter AND NOT {_CREDIT} AND {_DRAW} AS draw, CASE WHEN b.game THEN CAST(regexp_extract({_TRIM.replace('line', 'y.line')}, '{_HEADING}', 1) AS INT) END AS number FROM y LEFT JOIN b ON b.doc_id = y.doc_id AND b.line_no = y.line_no) SELECT doc_id, count(*) FILTER (game OR ends) AS sections, count(*) FILTER (game) AS games, count(*) FILTER (draw) AS results, CAST(sum(number) AS BIGINT) AS numbers FROM e GROUP BY doc_id",
     "word_clean_forms": f"WITH {_WORDS} SELECT w, {_plain_sql('w')} AS plain, {_clean_sql('w')} AS clean, regexp_replace(w, '([♔-♟]) +([a-h]?[1-8]?x?[a-h][1-8])', '\\1\\2', 'g') AS joined FROM ws",
     "note_clean_text": f"WITH {_RAW} SELECT note_id, md5({_clean_sql('text')}) AS clean, md5({_plain_sql('text')}) AS plain FROM notes",
     "word_english": f"WITH {_WORDS} SELECT w, {_english_sql('w', 'ru')} AS ru, {_english_sql('w', 'de')} AS de FROM ws",
