@@ -126,8 +126,9 @@ def source_readings(targets: DataFrame, source: DataFrame) -> DataFrame:
 
 
 def black_row(text: Column) -> Column:
-    """struct<number, start, end, marks> of a row that holds Black's long move only, its piece perhaps misread."""
-    p = r"^\s*(\d{1,3})\s*\.\s*\.\s*\.\s*[^\s\d]{1,2}?([a-h][1-8])[—–-]([a-h][1-8])([+!?]*)\s*[|\]]?\s*$"
+    """struct<number, start, end, marks> of a row that holds Black's long move only (12... or 12. ...), its piece perhaps
+    misread."""
+    p = r"^\s*(\d{1,3})\s*(?:\.\s*){3,4}[^\s\d.]{1,2}?([a-h][1-8])[—–-]([a-h][1-8])([+!?]*)\s*[|\]]?\s*$"
     return F.when(text.rlike(p), F.struct(F.regexp_extract(text, p, 1).cast("int").alias("number"), F.regexp_extract(text, p, 2).alias("start"), F.regexp_extract(text, p, 3).alias("end"), F.regexp_extract(text, p, 4).alias("marks")))
 
 
@@ -229,11 +230,12 @@ def paragraphs(lines: DataFrame, keys: list[str]) -> DataFrame:
 
 def restored(boxes: DataFrame, regions: DataFrame, keys: list[str]) -> DataFrame:
     """Boxes of a stacked page back at their place: each lies in exactly one region (keys..., top, bottom, dx, dy), else it is left
-    out.  Rows: (keys..., x0, y0, x1, y1)."""
-    b = boxes.withColumn("mid", (F.col("y0") + F.col("y1")) / 2).withColumn("id", F.monotonically_increasing_id())
-    hit = M.range_join(b, regions, keys, "mid", "top", "bottom", 50.0)
-    one = hit.join(hit.groupBy("id").agg(F.count("*").alias("n")).where("n = 1").select("id"), "id", "left_semi")
-    return one.select(*[c for c in boxes.columns if c not in ("x0", "y0", "x1", "y1")], (F.col("x0") + F.col("dx")).alias("x0"), (F.col("y0") + F.col("dy")).alias("y0"), (F.col("x1") + F.col("dx")).alias("x1"), (F.col("y1") + F.col("dy")).alias("y1"))
+    out.  Rows: (keys..., x0, y0, x1, y1).  A page's regions are few and travel as one array."""
+    own = regions.groupBy(*keys).agg(F.collect_list(F.struct("top", "bottom", "dx", "dy")).alias("__r"))
+    mid = (F.col("y0") + F.col("y1")) / 2
+    hit = boxes.join(own, keys).withColumn("__r", F.filter("__r", lambda r: mid.between(r["top"], r["bottom"]))).where(F.size("__r") == 1).withColumn("__r", F.col("__r")[0])
+    moved = [(F.col(c) + F.col(f"__r.{d}")).alias(c) for c, d in (("x0", "dx"), ("y0", "dy"), ("x1", "dx"), ("y1", "dy"))]
+    return hit.select(*[c for c in boxes.columns if c not in ("x0", "y0", "x1", "y1")], *moved)
 
 
 def row_context(tok: DataFrame, on: list[str]) -> DataFrame:

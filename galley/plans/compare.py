@@ -12,10 +12,12 @@ from ..operators import boards as B
 from ..operators import evaluation as E
 from ..operators import matching as M
 from ..operators import nested
+from ..operators import pages as P
 from ..operators import readings as RD
 from ..operators import report as R
 from ..operators import sequences as S
 from ..session import table
+from ..streaming import incremental as I
 from . import records as stored
 
 _ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
@@ -245,6 +247,64 @@ def read_improved(spark, d):
     return RD.improved(side("F"), side("O"), ["c_custkey"])
 
 
+def line_restored(spark, d):
+    """Line items as boxes of a stacked page put back by the one region they lie in."""
+    x = _lines(spark, d)
+    y = (F.col("l_partkey") % 100).cast("double")
+    boxes = x.select("o", "n", F.lit(0.0).alias("x0"), y.alias("y0"), F.lit(5.0).alias("x1"), (y + 10).alias("y1"))
+    regions = x.select("o").distinct().select("o", F.explode(F.array(F.struct(F.lit(0.0).alias("top"), F.lit(40.0).alias("bottom"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy")), F.struct(F.lit(40.0).alias("top"), F.lit(90.0).alias("bottom"), F.lit(100.0).alias("dx"), F.lit(-40.0).alias("dy")))).alias("r")).select("o", "r.*")
+    return RD.restored(boxes, regions, ["o"]).select("o", "n", "x0", "y0", "x1", "y1")
+
+
+def line_texts(spark, d):
+    """Line items as words of printed lines, wide gaps read as dashes."""
+    x0 = F.col("l_partkey") + F.col("n") / 64
+    w = _lines(spark, d).select("o", F.col("l_returnflag").alias("line"), x0.alias("x0"), (x0 + F.col("l_quantity")).alias("x1"), F.lit(0.0).alias("y0"), F.lit(9.0).alias("y1"), F.col("uci").alias("text"), F.lit(2000.0).alias("width"))
+    return P.lines_text(w, ["o"]).select("o", "line", "text", "x0", "x1")
+
+
+def line_source_readings(spark, d):
+    """Ranks of long pawn moves that the first reading left open, from the row of the source with the same other move."""
+    x = _lines(spark, d)
+    file = F.substring(F.lit("abcdefgh"), (F.col("l_suppkey") % 8 + 1).cast("int"), F.lit(1))
+    move = lambda rank: F.concat(file, F.lit("7-"), file, rank)
+    open_ = F.when(F.col("l_partkey") % 2 == 0, "b").otherwise("d")
+    peer = F.when(F.col("l_suppkey") % 3 == 0, "e2-e4").otherwise("d2-d4")
+    targets = x.where("l_returnflag = 'A'").select(F.col("o").alias("book"), F.lit(1).alias("page"), F.col("n").cast("double").alias("ord"), F.col("l_linenumber").alias("number"), F.lit(1).alias("side"), move(open_).alias("word"), peer.alias("peer"), F.array(move(F.when(F.col("l_quantity") > 25, "5").otherwise(open_))).alias("readings"))
+    source = x.where("l_returnflag = 'R'").select(F.col("o").alias("book"), F.lit(1).alias("page"), F.col("n").cast("double").alias("ord"), F.col("l_linenumber").alias("number"), F.array(peer, move((F.col("l_partkey") % 3 + 4).cast("string"))).alias("words"))
+    return RD.source_readings(targets, source).select("book", "ord", "reading", "conflict")
+
+
+def line_black_rows(spark, d):
+    """Two scans of a row with Black's move only, where both are complete and equal."""
+    x = _lines(spark, d)
+    row = lambda piece, to: F.concat(F.col("n").cast("string"), F.lit(". ... "), piece, F.lit("g8-f"), to.cast("string"), F.when(F.col("l_tax") > 0.05, "!").otherwise(""))
+    a, b = row(F.lit("♘"), F.col("l_suppkey") % 9), row(F.when(F.col("l_partkey") % 4 == 0, "KQx").otherwise("§"), F.col("l_linenumber") + 1)
+    r = RD.agreed_black_row(a, b)
+    return x.where(r.isNotNull()).select("o", "n", r["number"].alias("number"), r["start"].alias("start"), r["end"].alias("end"), r["marks"].alias("marks"))
+
+
+def line_reading_order(spark, d):
+    """Line items as lines of pages with two columns, in reading order."""
+    x = _lines(spark, d)
+    x0 = F.when(F.col("l_suppkey") % 5 == 0, 0.0).when(F.col("l_suppkey") % 5 < 3, 10.0).otherwise(110.0)
+    x1 = F.when(F.col("l_suppkey") % 5 == 0, 200.0).when(F.col("l_suppkey") % 5 < 3, 90.0).otherwise(190.0)
+    lines = x.select((F.col("o") % 500).alias("page"), (F.col("o") * 8 + F.col("n")).cast("double").alias("y0"), x0.alias("x0"), x1.alias("x1"))
+    gaps = lines.select("page").distinct().where("page % 4 > 0").select("page", F.lit(100.0).alias("gap"))
+    return P.reading_order(lines, gaps, ["page"]).select("page", "y0", "band", "side", "ord")
+
+
+def event_stream_windows(spark, d):
+    """Events per day and type, read as a stream of files and worked off until nothing is new."""
+    source = f"{d}/events.parquet"
+    fs = spark._jvm.org.apache.hadoop.fs.Path(source).getFileSystem(spark._jsc.hadoopConfiguration())
+    whole = fs.getFileStatus(spark._jvm.org.apache.hadoop.fs.Path(source)).isDirectory()
+    reader = spark.readStream.schema("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string")
+    stream = reader.parquet(source) if whole else reader.option("pathGlobFilter", "events.parquet").parquet(d)
+    counts = I.windowed_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], "1 day", late="1 day")
+    return I.finished(counts, "event_windows").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
 # ---- boards and sequences ----
 
 
@@ -367,6 +427,19 @@ SQL = {
     "part_replaced": "WITH n AS (SELECT * FROM part WHERE p_brand >= 'Brand#3'), a AS (SELECT * FROM n UNION ALL SELECT * FROM part o WHERE p_brand < 'Brand#3' AND NOT EXISTS (SELECT 1 FROM n WHERE n.p_type = o.p_type AND n.p_size = o.p_size)) SELECT p_type, p_size, count(*) AS n, min(p_partkey) AS first FROM a GROUP BY 1, 2",
     "cust_triples": "WITH t AS (SELECT o_custkey, o_totalprice AS x, lag(o_totalprice) OVER w AS a, lead(o_totalprice) OVER w AS b FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)) SELECT o_custkey, count(*) AS peaks FROM t WHERE a < x AND b < x GROUP BY 1",
     "read_improved": f"WITH {_NUMBERED} SELECT n.c_custkey, (len(list_filter(b.headings, lambda h: NOT list_contains(n.headings, h))) = 0 AND n.orphans <= b.orphans) AND (n.orphans < b.orphans OR (b.mixed >= 2 AND n.mixed < b.mixed) OR (n.mixed <= b.mixed AND n.backtracks < b.backtracks)) AS improved FROM s n JOIN s b ON n.c_custkey = b.c_custkey WHERE n.s = 'O' AND b.s = 'F'",
+    "line_restored": f"WITH {_L}, b AS (SELECT o, n, CAST(l_partkey % 100 AS DOUBLE) AS y FROM l), r AS (SELECT * FROM (VALUES (0.0, 40.0, 0.0, 0.0), (40.0, 90.0, 100.0, -40.0)) v(t, e, dx, dy)), h AS (SELECT o, n, y, dx, dy, count(*) OVER (PARTITION BY o, n) AS m FROM b JOIN r ON y + 5 BETWEEN t AND e) SELECT o, n, CAST(dx AS DOUBLE) AS x0, y + dy AS y0, 5.0 + dx AS x1, y + 10 + dy AS y1 FROM h WHERE m = 1",
+    "line_texts": f"WITH {_L}, w AS (SELECT o, l_returnflag AS line, l_partkey + n / 64 AS x0, l_partkey + n / 64 + l_quantity AS x1, uci FROM l), g AS (SELECT *, x0 - lag(x1) OVER (PARTITION BY o, line ORDER BY x0) AS gap FROM w) SELECT o, line, string_agg(CASE WHEN gap IS NULL THEN '' WHEN gap > 500 THEN ' – ' ELSE ' ' END || uci, '' ORDER BY x0) AS text, min(x0) AS x0, max(x1) AS x1 FROM g GROUP BY 1, 2",
+    "line_source_readings": (
+        f"WITH {_L}, p AS (SELECT *, substr('abcdefgh', CAST(l_suppkey % 8 + 1 AS INT), 1) AS f, CASE WHEN l_suppkey % 3 = 0 THEN 'e' ELSE 'd' END AS peer FROM l), t AS (SELECT o, n, l_linenumber AS no, f, peer, l_partkey % 2 = 0 AS b, l_quantity > 25 AS five FROM p WHERE l_returnflag = 'A'), s AS (SELECT o, l_linenumber AS no, f, peer, CAST(l_partkey % 3 + 4 AS VARCHAR) AS rank FROM p WHERE l_returnflag = 'R'), "
+        "h AS (SELECT t.*, s.f AS sf, s.rank, count(*) OVER (PARTITION BY t.o, t.n) AS m FROM t JOIN s ON s.o = t.o AND s.no = t.no AND s.peer = t.peer) SELECT o AS book, CAST(n AS DOUBLE) AS ord, sf || '7-' || sf || rank AS reading, five AND rank <> '5' AS conflict FROM h WHERE m = 1 AND sf = f AND ((b AND rank IN ('5', '6')) OR (NOT b AND rank IN ('4', '5')))"
+    ),
+    "line_black_rows": f"WITH {_L} SELECT o, n, CAST(n AS INT) AS number, 'g8' AS start, 'f' || (l_suppkey % 9) AS \"end\", CASE WHEN l_tax > 0.05 THEN '!' ELSE '' END AS marks FROM l WHERE l_suppkey % 9 BETWEEN 1 AND 8 AND l_linenumber + 1 = l_suppkey % 9 AND l_partkey % 4 <> 0",
+    "line_reading_order": (
+        f"WITH {_L}, p AS (SELECT o % 500 AS page, CAST(o * 8 + n AS DOUBLE) AS y0, l_suppkey % 5 AS k, (o % 500) % 4 > 0 AS two FROM l), s AS (SELECT page, y0, CASE WHEN k = 0 THEN 0.0 WHEN k < 3 THEN 10.0 ELSE 110.0 END AS x0, CASE WHEN NOT two OR k = 0 THEN 0 WHEN k < 3 THEN 1 ELSE 2 END AS side FROM p), "
+        "i AS (SELECT *, CASE WHEN (side = 0) IS DISTINCT FROM lag(side = 0) OVER w OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS new FROM s WINDOW w AS (PARTITION BY page ORDER BY y0, x0)), b AS (SELECT page, y0, x0, side, CAST(sum(new) OVER (PARTITION BY page ORDER BY y0, x0) AS BIGINT) AS band FROM i), c AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY page, band) < 3 THEN 0 ELSE side END AS g FROM b) "
+        "SELECT page, y0, band, g AS side, CAST(row_number() OVER (PARTITION BY page ORDER BY band, g, y0, x0) AS INT) AS ord FROM c"
+    ),
+    "event_stream_windows": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "cust_boards": f"WITH {_CELLS}, r AS (SELECT diagram, square // 8 AS rank, {_fen_rank()} AS t, count(piece) AS n FROM c GROUP BY 1, 2), b AS (SELECT diagram, string_agg(t, '/' ORDER BY rank) AS p, sum(n) AS n FROM r GROUP BY 1) SELECT diagram, CASE WHEN n = 64 THEN p END AS placement, CASE WHEN n = 64 THEN 'complete' ELSE 'incomplete' END AS status FROM b",
     "cust_checkered": f"WITH {_CELLS}, i AS (SELECT diagram, (square // 8 + square % 8) % 2 = 1 AS dark, CASE WHEN (square // 8 + square % 8) % 2 = 1 AND diagram % 2 = 0 THEN 0.3 ELSE abs(c_acctbal) / 100000 END AS ink FROM c) SELECT diagram, coalesce(avg(ink) FILTER (dark) - avg(ink) FILTER (NOT dark) >= 0.10 AND count(*) FILTER (dark AND ink > 0.15) >= 24, false) AS is_board FROM i GROUP BY 1",
     "order_open_fields": "WITH f AS (SELECT o_custkey, CASE WHEN o_orderstatus = 'F' THEN 'w' ELSE 'b' END AS t, CASE WHEN o_totalprice > 400000 THEN 'K' ELSE '-' END AS c FROM orders) SELECT o_custkey, min('8/8 ' || t || ' ' || c || ' -') AS fen, count(*) AS candidates, concat_ws(' ', CASE WHEN count(DISTINCT t) > 1 THEN 'turn' END, CASE WHEN count(DISTINCT c) > 1 THEN 'castling' END) AS open FROM f GROUP BY 1",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -56,3 +57,14 @@ def run(stream: DataFrame, work: Callable[[DataFrame, int], None], name: str) ->
     """Work on everything new and stop; progress is kept in the shared folder, so no file is worked on twice."""
     at = f"{shared_dir(stream.sparkSession)}/galley-streams/{name}"
     return stream.writeStream.foreachBatch(work).option("checkpointLocation", at).trigger(availableNow=True).start()
+
+
+def finished(stream: DataFrame, name: str) -> DataFrame:
+    """Everything an aggregated stream has to say about the files there are: it is worked off and its whole result written
+    into the shared folder.  Progress of this call is its own, so it can be called again."""
+    spark = stream.sparkSession
+    at = f"{shared_dir(spark)}/galley-streams/{name}-{uuid.uuid4().hex}"
+    save = lambda batch, _: batch.write.mode("overwrite").parquet(f"{at}/out")
+    spark.createDataFrame([], stream.schema).write.parquet(f"{at}/out")
+    stream.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/out")
