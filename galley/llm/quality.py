@@ -188,6 +188,9 @@ def measure(texts: list[str | None], common: frozenset[str]) -> tuple[dict[str,
     ids: dict[tuple[int, str], int] = {}
     number = np.fromiter((ids.setdefault((k, x), len(ids)) for k, x in zip(owner, map(str.strip, lines))), np.int64, len(lines))
     often = np.bincount(number)[number] >= 3
+    # a document that is few lines over and over
+    n_lines, different = np.bincount(doc, minlength=len(texts)), np.bincount(np.array([k for k, _ in ids], np.int64), minlength=len(texts))
+    out["mono"] = often & ((n_lines >= 4) & (different * 4 <= n_lines))[doc]
     same = np.array([len(x) >= 16 and len(set(x)) * 5 <= len(x) and len(set(x)) <= 12 and any(map(str.isalpha, "".join(x[:8]))) for x in words])
     out["repeat"] = often | same
     return out, doc
@@ -227,7 +230,7 @@ def observe(m: dict[str, np.ndarray]) -> np.ndarray:
     rules = [
         ("decoding", (m["wrong"] / chars > 0.15) | (m["high"] / letters > 0.5) & (m["letters"] >= 6) & (m["high"] >= 5)),
         ("cells", m["rule"]),
-        ("repeat", m["repeat"] & (m["letters"] >= 8) & (m["digits"] <= 2)),
+        ("repeat", (m["repeat"] & (m["letters"] >= 8) | m["mono"] & (m["letters"] >= 1)) & (m["digits"] <= 2)),
         ("debris", (m["words"] >= 16) & (m["word_chars"] <= m["words"] * 1.1) & (m["cells"] < 2)),
         ("entry", m["leader"]),
         ("debris", (odd > 0.25) & (m["letters"] + m["digits"] < 0.75 * chars)),

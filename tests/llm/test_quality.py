@@ -8,7 +8,7 @@ CASES = {
     "prose": [PROSE, PROSE + "\n1 | a | b\n2 | c | d\n" + PROSE, "Game 71: Tal - Euwe\n\n" + PROSE, "Хорошо известно, что в этом начале атака не должна решаться раньше времени.", "   " + PROSE],
     "list": ["1) Grimish - Wirresz, 1982\n2) Ruz - Fenn, 1985\n3) Hald - Tarn, 1981", "• quiet king\n• weak pawn\n• active plan", "Diagonal weak . . . . . .  5\nAnother one ....... 17", "Hald, 38, 70, 204\nOst, 94\nTarn, 1, 2", "Attack:\nRuz Opening\nHald Gambit\nOst Attack\nTarn System"],
     "table": [" 1  Tal      1  0  ½  2.5\n 2  Euwe     ½  1  0  2.0\n 3  Keres    0  ½  1  1.5", "|1|e4|e5|\n|2|f4|d5|", "1\tNf3\td5\n2\tg3\tc5", "+---+---+\n| r | n |\n+---+---+\n| p |   |\n+---+---+", " 1;A;1;0\n 2;B;0;1"],
-    "junk": ["#@ !%^ &*( <>?\n{}[ |~ ^^ %$\n@@ ## !!", "7d3c40ee9078fed090a9a81eb7450cf3\n5ab34156e3965bbe927848f843668f58", "xftq prmpn vq hzcqhn txmg\njvmd hdtnh tznhzcp xsdrh", "Ð\x9fÐ°Ñ\x80Ñ\x82Ð½Ñ\x91Ñ\x80Ñ\x8b Ñ\x81Ð¾Ð³Ð»Ð°Ñ\x81Ð¸Ð»Ð¸Ñ\x81Ñ\x8c", "Scan error: no text layer\n" * 8, "♟ ♙ □ ♙ ■ ♙ ■ ♟ □ ♙ ♙ □ □ ♟ ♙ ♟ □ ■ ♟ □ ♙ □ ■"],
+    "junk": ["#@ !%^ &*( <>?\n{}[ |~ ^^ %$\n@@ ## !!", "7d3c40ee9078fed090a9a81eb7450cf3\n5ab34156e3965bbe927848f843668f58", "xftq prmpn vq hzcqhn txmg\njvmd hdtnh tznhzcp xsdrh", "Ð\x9fÐ°Ñ\x80Ñ\x82Ð½Ñ\x91Ñ\x80Ñ\x8b Ñ\x81Ð¾Ð³Ð»Ð°Ñ\x81Ð¸Ð»Ð¸Ñ\x81Ñ\x8c", "Scan error: no text layer\n" * 8, "x x x x x\n" * 9, "♟ ♙ □ ♙ ■ ♙ ■ ♟ □ ♙ ♙ □ □ ♟ ♙ ♟ □ ■ ♟ □ ♙ □ ■"],
 }
 
 
