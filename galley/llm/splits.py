@@ -18,37 +18,47 @@ def _minima(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("degree")).select("u", F.least("u", "low").alias("m"), "degree")
 
 
-def _spread(edges: DataFrame, minima: DataFrame) -> DataFrame:
-    """edges joined with their u's minimum.  Rows of hot nodes are spread over SALTS keys, so no node is one task."""
+def _spread(edges: DataFrame, minima: DataFrame, hot: bool) -> DataFrame:
+    """edges joined with their u's minimum.  If a node may be hot, rows of hot nodes are spread over SALTS keys, so no node
+    is one task."""
+    if not hot:
+        return edges.join(minima.select("u", "m"), "u").select("u", "v", "m")
     salts = F.when(F.col("degree") > HOT, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     right = minima.select("u", "m", (F.col("degree") > HOT).alias("hot"), F.explode(salts).alias("salt"))
-    hot = minima.where(F.col("degree") > HOT).select(F.col("u").alias("h"))
-    left = edges.join(hot, edges["u"] == hot["h"], "left").select("u", "v", F.when(F.col("h").isNotNull(), F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).otherwise(0).alias("salt"))
+    many = minima.where(F.col("degree") > HOT).select(F.col("u").alias("h"))
+    left = edges.join(many, edges["u"] == many["h"], "left").select("u", "v", F.when(F.col("h").isNotNull(), F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).otherwise(0).alias("salt"))
     return left.join(right, ["u", "salt"]).select("u", "v", "m")
 
 
+def _mark(links: DataFrame) -> tuple[int, int | None]:
+    """The number of links and a sum of their hashes, which tells whether a round changed any."""
+    found = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).head()
+    return found["n"], found["h"]
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node of each connected component, for every node of ``links``, by alternating
     large-star and small-star until no link changes.  Links with a NULL end and loops say nothing beyond the node's
     being there; repeated links count once.  Each round is written to the shared folder; only counts come to the
-    driver."""
+    driver.  A list of at most HOT links has no hot node, so salting is looked into beyond that only."""
     ends = links.select(F.col(a).alias("a"), F.col(b).alias("b"))
     nodes = ends.select(F.col("a").alias("node")).union(ends.select("b")).where("node is not null").distinct()
     now = written(ends.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    mark = None
+    mark = _mark(now)
     for _ in range(ROUNDS):
+        hot = mark[0] > HOT
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: every neighbour above u is linked with the smallest of u and its neighbours
-        large = written(_spread(both, _minima(both)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        large = _spread(both, _minima(both), hot).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        if hot:
+            large = written(large, "large")
         # small star: u and its neighbours below are linked with the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
-        kept = low.select("u", F.col("m").alias("v"))
-        moved = _spread(large, low).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(kept.union(moved).distinct(), "small")
-        found = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).head()
-        if (found["n"], found["h"]) == mark:
+        moved = _spread(large, low, hot).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = written(low.select("u", F.col("m").alias("v")).union(moved).distinct(), "small")
+        before, mark = mark, _mark(now)
+        if mark == before:
             break
-        mark = (found["n"], found["h"])
     else:
         raise RuntimeError(f"no fixed point after {ROUNDS} rounds")
     roots = now.groupBy("u").agg(F.min("v").alias("component"))
