@@ -20,11 +20,33 @@ BUCKETS = 64
 RANKED = 100_000
 
 
-def optimal_buckets(sizes: np.ndarray, counts: np.ndarray, most: int = BUCKETS) -> np.ndarray:
-    """Upper bounds of at most ``most`` buckets with the least total padding sum(count * (bound - size)).
+def _layer(best: np.ndarray, sizes: np.ndarray, number: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One layer of the dynamic programme: for every j the least best[i] + cost(i, j) and its i.  The optimal i never falls as j
+    grows, so the middle j of a stretch bounds those on either side; all stretches of one depth are worked out at once."""
+    n = len(sizes)
+    new, cut = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
+    new[0] = 0
+    lo, hi, a, b = (np.array([x]) for x in (1, n, 0, n - 1))
+    while len(lo):
+        j = (lo + hi) // 2
+        many = np.minimum(b, j - 1) - a + 1
+        start = np.cumsum(many) - many
+        i = np.arange(many.sum()) - np.repeat(start - a, many)
+        at = np.repeat(j, many)
+        cost = best[i] + sizes[at - 1] * (number[at] - number[i]) - (weight[at] - weight[i])
+        least = np.minimum.reduceat(cost, start)
+        hit = np.flatnonzero(cost == np.repeat(least, many))
+        first = i[hit[np.searchsorted(hit, start)]]
+        new[j], cut[j] = least, first
+        lo, hi, a, b = (np.concatenate(x) for x in ((lo, j + 1), (j - 1, hi), (a, first), (first, b)))
+        keep = lo <= hi
+        lo, hi, a, b = lo[keep], hi[keep], a[keep], b[keep]
+    return new, cut
 
-    f[k][j] = min over i of f[k-1][i] + cost(i, j); the optimal i never falls as j grows, so each layer is
-    solved by halving."""
+
+def optimal_buckets(sizes: np.ndarray, counts: np.ndarray, most: int = BUCKETS) -> np.ndarray:
+    """Upper bounds of at most ``most`` buckets with the least total padding sum(count * (bound - size)):
+    f[k][j] = min over i of f[k-1][i] + cost(i, j)."""
     n = len(sizes)
     if n <= most:
         return sizes.copy()
@@ -33,21 +55,8 @@ def optimal_buckets(sizes: np.ndarray, counts: np.ndarray, most: int = BUCKETS)
     best = np.concatenate([[0], sizes * number[1:] - weight[1:]])
     cuts = []
     for _ in range(1, most):
-        new, cut = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
-        new[0] = 0
-        todo = [(1, n, 0, n - 1)]
-        while todo:
-            lo, hi, a, b = todo.pop()
-            if lo > hi:
-                continue
-            j = (lo + hi) // 2
-            i = np.arange(a, min(b, j - 1) + 1)
-            cost = best[i] + sizes[j - 1] * (number[j] - number[i]) - (weight[j] - weight[i])
-            k = int(np.argmin(cost))
-            new[j], cut[j] = cost[k], i[k]
-            todo += [(lo, j - 1, a, int(i[k])), (j + 1, hi, int(i[k]), b)]
+        best, cut = _layer(best, sizes, number, weight)
         cuts.append(cut)
-        best = new
     at, bounds = n, []
     for cut in reversed(cuts):
         if at <= 0:
