@@ -89,6 +89,30 @@ def doc_move_rows(spark, d):
     return P.table_layout(P.table_rows(P.tokens(lines, ["doc_id"]), ["doc_id"]), ["doc_id"]).where("rows > 0")
 
 
+#: Public positions for counting move sequences (perft), with castling, promotions, pins and captures in passing.
+POSITIONS = {
+    "start": START,
+    "castling": "r3k2r/p1ppqpb1/bn2pnp1/3PN3/1p2P3/2N2Q1p/PPPBBPPP/R3K2R w KQkq - 0 1",
+    "passant": "8/2p5/3p4/KP5r/1R3p1k/8/4P1P1/8 w - - 0 1",
+    "promotion": "r3k2r/Pppp1ppp/1b3nbN/nP6/BBP1P3/q4N2/Pp1P2PP/R2Q1RK1 w kq - 0 1",
+    "mixed": "rnbq1k1r/pp1Pbppp/2p5/8/2B5/8/PPP1NnPP/RNBQK2R w KQ - 1 8",
+}
+
+
+def chess_perft(spark, d):
+    """Numbers of legal move sequences of one to three moves, counted on tables of positions."""
+    at = spark.createDataFrame(list(POSITIONS.items()), "name string, fen string")
+    out = None
+    for depth in (1, 2, 3):
+        moves = at.select("name", "fen", F.explode(R.legal_moves(F.col("fen"))).alias("uci"))
+        n = moves.groupBy("name").agg(F.count("*").alias("nodes")).select("name", F.lit(depth).alias("depth"), "nodes")
+        out = n if out is None else out.unionByName(n)
+        at = moves.select("name", R.position_after(F.col("fen"), F.array("uci")).alias("fen"))
+        if depth == 2:
+            at = at.where("name in ('start', 'passant', 'promotion')")
+    return out
+
+
 def word_first_moves(spark, d):
     """Distinct scanned words that are legal first moves of a game."""
     t = table(spark, d, "bold_source_words").where("text is not null").select(F.regexp_replace("text", r"^1\.(?=\S)", "").alias("word")).distinct().where(N.move_code(F.col("word")).isNotNull())
@@ -127,12 +151,25 @@ def template_classify(spark, d):
     return got.groupBy(F.when(F.col("label").isNull(), "none").when(F.col("label") == F.col("truth"), "right").otherwise("wrong").alias("verdict")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (note_games, note_report, note_quality, note_token_kinds, note_heads, note_defects, doc_move_rows, word_first_moves, word_repairs, word_components, template_consensus, template_classify)}
+QUERIES = {f.__name__: f for f in (chess_perft, note_games, note_report, note_quality, note_token_kinds, note_heads, note_defects, doc_move_rows, word_first_moves, word_repairs, word_components, template_consensus, template_classify)}
 _COST = "CASE WHEN {a} = {b} THEN 0.0 WHEN {a} = '?' THEN 0.3 " + " ".join(f"WHEN {{a}} || {{b}} IN ({', '.join(_w._q(x) for p in v.split() for x in (p, p[::-1]))}) THEN {k}" for k, v in N.CONFUSED.items()) + " ELSE 1.0 END"
 # a row of the distance matrix from the one before: the least of all places up to each, with what is lost on the way
 _STEP = "list_transform(range(1, m + 2), lambda j: c[j] + list_min(list_transform(range(1, j + 1), lambda k: CASE WHEN k = 1 THEN r[1] + 1 ELSE least(r[k] + 1, r[k - 1] + " + _COST.format(a="a[i + 1]", b="b[k - 1]") + ") END - c[k])))"
-_FIRST = "CASE WHEN f = 'N' THEN (t IN ('a3', 'c3') AND (y = '' OR y = 'b') OR t IN ('f3', 'h3') AND (y = '' OR y = 'g')) AND (z = '' OR z = '1') ELSE f = '' AND t[2] IN ('3', '4') AND (y = '' OR y = t[1]) AND (z = '' OR z = '2') AND (y <> '' OR z = '') END"
+_PARTS = "^([KQRBN]?)([a-h]?)([1-8]?)([-x:]?)([a-h][1-8])$"
+_FIRST = (
+    "legal AS (SELECT '' AS piece, f, '2' AS r, f || y AS goal, f || '2' || f || y AS uci FROM (VALUES ('a'), ('b'), ('c'), ('d'), ('e'), ('f'), ('g'), ('h')) a(f), (VALUES ('3'), ('4')) b(y) "
+    "UNION ALL SELECT 'N', f, '1', g, f || '1' || g FROM (VALUES ('b', 'a3'), ('b', 'c3'), ('g', 'f3'), ('g', 'h3')) n(f, g))"
+)
 SQL: dict[str, str] = {
+    # published numbers of move sequences
+    "chess_perft": "SELECT * FROM (VALUES ('start', 1, 20), ('start', 2, 400), ('start', 3, 8902), ('castling', 1, 48), ('castling', 2, 2039), ('passant', 1, 14), ('passant', 2, 191), ('passant', 3, 2812), ('promotion', 1, 6), ('promotion', 2, 264), ('promotion', 3, 9467), ('mixed', 1, 44), ('mixed', 2, 1486)) v(name, depth, nodes)",
+    "word_first_moves": (
+        f"WITH w AS (SELECT DISTINCT CASE WHEN regexp_matches(text, '^1\\.\\S') THEN substr(text, 3) ELSE text END AS word FROM bold_source_words WHERE text IS NOT NULL), c AS (SELECT word, {_w._core_sql("regexp_replace(word, '[.,;]+$', '')")} AS k FROM w WHERE {_w._code_sql('word')} IS NOT NULL), "
+        f"e AS (SELECT word, 1 AS i, {_w._english_sql('k', 'en')} AS t FROM c UNION ALL SELECT word, 2, {_w._english_sql('k', 'ru')} FROM c), s AS (SELECT word, i, regexp_replace(t, '[+#!?]+$', '') AS t FROM e), "
+        f"p AS (SELECT word, i, regexp_extract(t, '{_PARTS}', 1) AS piece, regexp_extract(t, '{_PARTS}', 2) AS f, regexp_extract(t, '{_PARTS}', 3) AS r, regexp_extract(t, '{_PARTS}', 4) AS sign, regexp_extract(t, '{_PARTS}', 5) AS goal FROM s WHERE regexp_matches(t, '{_PARTS}')), "
+        f"{_FIRST}, m AS (SELECT word, i, min(legal.uci) AS uci FROM p JOIN legal ON legal.piece = p.piece AND legal.goal = p.goal AND p.f IN ('', legal.f) AND p.r IN ('', legal.r) WHERE p.sign NOT IN ('x', ':') AND NOT (p.piece = '' AND p.r <> '' AND p.f = '') GROUP BY word, i HAVING count(*) = 1) "
+        "SELECT word, arg_min(uci, i) AS uci FROM m GROUP BY word"
+    ),
     "word_repairs": (
         f"WITH RECURSIVE t AS (SELECT DISTINCT text, expected FROM bold_source_words WHERE text IS NOT NULL AND expected IS NOT NULL), s AS (SELECT text, expected, string_split({_w._shape_sql('text')}, '') AS a, string_split({_w._shape_sql('expected')}, '') AS b FROM t), "
         "z AS (SELECT *, len(b) AS m, list_transform(range(0, len(b) + 1), lambda j: coalesce(list_sum(list_transform(b[1:j], lambda x: CASE WHEN x = 'f' THEN 0.5 ELSE 1.0 END)), 0.0)) AS c FROM s), "
