@@ -149,7 +149,42 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_splits": p3_splits, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p5_forms": p5_forms, "p6_ids": p6_ids, "p7_found": p7_found, "p7_pack": p7_pack, "p7_check": p7_check, "p8_found": p8_found, "p8_stats": p8_stats}
+_FOLD = "regexp_replace(lower(translate({}, '" + bookkeys._FROM + "', '" + bookkeys._TO + "')), '[\u0300-\u036f]', '', 'g')"
+
+
+def _key(c: str) -> str:
+    stem = f"regexp_replace(lower(regexp_replace(trim({c}), '^.*[/\\\\]', '')), '\\.(pdf|djvu|djv|epub|txt)$', '')"
+    return "nullif(regexp_replace(" + _FOLD.format(stem) + ", '[^a-z0-9а-яё]+', '', 'g'), '')"
+
+
+def _less(c: str) -> str:
+    """A key and the key less any one character."""
+    return f"list_append(list_transform(range(1, CAST(length({c}) AS BIGINT) + 1), lambda i: substr({c}, 1, i - 1) || substr({c}, i + 1)), {c})"
+
+
+_LETTERS = "list_filter(string_split_regex(regexp_replace({}, '[^a-zа-яё''-]+', ' ', 'g'), ' +'), lambda w: length(regexp_replace(w, '[''-]', '', 'g')) > 1)"
+_SORTED = "array_to_string(list_sort(string_split({}, '')), '')"
+_PLACEHOLDERS = ", ".join(f"'{p}'" for p in bookkeys.PLACEHOLDERS)
+# names of logs to books, books to groups, records to groups
+_GROUPS = (
+    f"WITH RECURSIVE rec AS (SELECT DISTINCT 'clipped_notation' AS src, clip_id AS rec_id, split, book FROM clipped_notation UNION SELECT DISTINCT 'classic', template_id, split, source.book FROM classic), "
+    f"names AS (SELECT DISTINCT book, {_key('book')} AS key FROM rec WHERE book IS NOT NULL), known AS (SELECT key, min(book_id) AS book_id FROM (SELECT book_id, {_key('path')} AS key FROM books) WHERE key IS NOT NULL GROUP BY key HAVING count(*) = 1), "
+    "direct AS (SELECT n.book, n.key, k.book_id FROM names n LEFT JOIN known k ON k.key = n.key WHERE n.key IS NOT NULL), "
+    f"near AS (SELECT d.key, min(k.book_id) AS book_id FROM (SELECT DISTINCT key FROM direct WHERE book_id IS NULL) d JOIN known k ON abs(length(d.key) - length(k.key)) <= 1 AND regexp_replace(d.key, '[^0-9]', '', 'g') = regexp_replace(k.key, '[^0-9]', '', 'g') "
+    f"AND (levenshtein(d.key, k.key) = 1 OR (levenshtein(d.key, k.key) = 2 AND length(d.key) = length(k.key) AND {_SORTED.format('d.key')} = {_SORTED.format('k.key')})) AND list_has_any({_less('d.key')}, {_less('k.key')}) GROUP BY d.key HAVING count(DISTINCT k.book_id) = 1), "
+    "meant AS (SELECT book, book_id FROM direct WHERE book_id IS NOT NULL UNION SELECT d.book, n.book_id FROM direct d JOIN near n ON n.key = d.key WHERE d.book_id IS NULL), "
+    f"part AS (SELECT book_id, unnest(string_split_regex({_FOLD.format('author')}, '\\s*(?:[;&/+]|\\band\\b|\\bund\\b)\\s*')) AS p FROM books WHERE author IS NOT NULL), "
+    f"heads AS (SELECT book_id, p, {_LETTERS.format('string_split(p, chr(44))[1]')} AS head, {_LETTERS.format('p')} AS own FROM part), "
+    "person AS (SELECT book_id, CASE WHEN contains(p, ',') AND len(head) > 0 THEN head ELSE own END AS w, (contains(p, ',') AND len(head) > 0) OR len(own) = 1 AS sure FROM heads), "
+    f"named AS (SELECT book_id, w, sure, array_to_string(list_sort(w), ' ') AS whole FROM person WHERE len(w) > 0 AND array_to_string(list_sort(w), ' ') NOT IN ({_PLACEHOLDERS}) AND array_to_string(w, ' ') NOT IN ({_PLACEHOLDERS})), "
+    "kn AS (SELECT coalesce(list(DISTINCT whole), []) AS k FROM named WHERE sure), "
+    "surname AS (SELECT DISTINCT book_id, CASE WHEN sure OR list_contains(k, whole) THEN whole WHEN len(list_filter(list_distinct(w), lambda x: list_contains(k, x))) = 1 THEN list_filter(w, lambda x: list_contains(k, x))[1] ELSE w[len(w)] END AS e FROM named JOIN kn ON true), "
+    "entity AS (SELECT book_id, 'p' || e AS e FROM surname UNION SELECT book_id, 'f' || lower(trim(sha256)) FROM books WHERE trim(sha256) <> ''), "
+    "edge AS (SELECT DISTINCT a.book_id AS a, b.book_id AS b FROM entity a JOIN entity b USING (e)), reach AS (SELECT book_id AS a, book_id AS b FROM books UNION SELECT r.a, e.b FROM reach r JOIN edge e ON e.a = r.b), grp AS (SELECT a AS book_id, min(b) AS group_book FROM reach GROUP BY a), "
+    "own AS (SELECT rec.src, rec.rec_id, rec.split, grp.group_book FROM rec JOIN meant USING (book) JOIN grp USING (book_id))"
+)
 SQL: dict[str, str] = {
+    "p3_found": f"{_GROUPS}, spread AS (SELECT group_book FROM own GROUP BY 1 HAVING min(split) <> max(split)) SELECT DISTINCT src, rec_id, group_book FROM own JOIN spread USING (group_book)",
     # a packing places every text that has tokens whole, overfills no bin and wastes little
     "p7_check": "SELECT container, count(*) FILTER (text <> '') AS placed, count(*) FILTER (text IS NULL OR text = '') AS without_size, CAST(0 AS BIGINT) AS wrong, CAST(0 AS BIGINT) AS overfull, true AS dense FROM documents, containers GROUP BY container",
 }
