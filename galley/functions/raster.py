@@ -156,7 +156,7 @@ def classify(glyph: DataFrame, templates: DataFrame, keys: list[str], least: flo
     if len(rows) > MOST_TEMPLATES:
         raise ValueError(f"a profile has at most {MOST_TEMPLATES} templates")
     labels = sorted({r["label"] for r in rows})
-    bits = np.array([r["words"] for r in rows], np.int64).reshape(len(rows), -1)
+    bits = np.array([r["words"] for r in rows], np.int64).reshape(len(rows), -1 if rows else 16).view(np.uint64)  # counts of signed words would be those of their absolute values
     of = np.array([labels.index(r["label"]) for r in rows], np.int64)
     ink = np.bitwise_count(bits).sum(1)
     ship(glyph.sparkSession)
@@ -166,7 +166,7 @@ def classify(glyph: DataFrame, templates: DataFrame, keys: list[str], least: flo
     def best(w) -> tuple[str | None, float | None]:
         if not w or not len(rows):
             return None, None
-        g = np.array(w, np.int64)
+        g = np.array(w, np.int64).view(np.uint64)
         both = np.bitwise_count(bits & g).sum(1)
         s = 2 * both / np.maximum(ink + np.bitwise_count(g).sum(), 1)
         top = np.full(len(labels), -1.0)

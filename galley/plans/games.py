@@ -160,6 +160,13 @@ _FIRST = (
     "legal AS (SELECT '' AS piece, f, '2' AS r, f || y AS goal, f || '2' || f || y AS uci FROM (VALUES ('a'), ('b'), ('c'), ('d'), ('e'), ('f'), ('g'), ('h')) a(f), (VALUES ('3'), ('4')) b(y) "
     "UNION ALL SELECT 'N', f, '1', g, f || '1' || g FROM (VALUES ('b', 'a3'), ('b', 'c3'), ('g', 'f3'), ('g', 'h3')) n(f, g))"
 )
+_HEX = "regexp_replace(regexp_replace(lower(trim(bitmap)), '^0x', ''), '[\\s:_,-]+', '', 'g')"
+# the bits that most train templates of a label have, as characters and as signed words of 64
+_CONSENSUS = (
+    f"tr AS (SELECT template_id, any_value(label) AS label, any_value(CAST(CAST(unhex({_HEX}) AS BIT) AS VARCHAR)) AS x FROM coordinates WHERE split = 'train' AND label IS NOT NULL AND regexp_full_match({_HEX}, '[0-9a-f]{{256}}') GROUP BY template_id), "
+    "bits AS (SELECT label, pos, substr(x, CAST(pos AS INT), 1) = '1' AS b FROM tr, range(1, 1025) r(pos)), major AS (SELECT label, pos, CASE WHEN 2 * count(*) FILTER (b) > count(*) THEN '1' ELSE '0' END AS b FROM bits GROUP BY 1, 2), "
+    "unsigned AS (SELECT label, (pos - 1) // 64 AS i, sum(CASE WHEN b = '1' THEN CAST(1 AS HUGEINT) << CAST(63 - (pos - 1) % 64 AS INT) ELSE 0 END) AS u FROM major GROUP BY 1, 2), words AS (SELECT label, i, CAST(CASE WHEN u >= CAST(9223372036854775808 AS HUGEINT) THEN u - CAST(18446744073709551616 AS HUGEINT) ELSE u END AS BIGINT) AS w FROM unsigned)"
+)
 SQL: dict[str, str] = {
     # published numbers of move sequences
     "chess_perft": "SELECT * FROM (VALUES ('start', 1, 20), ('start', 2, 400), ('start', 3, 8902), ('castling', 1, 48), ('castling', 2, 2039), ('passant', 1, 14), ('passant', 2, 191), ('passant', 3, 2812), ('promotion', 1, 6), ('promotion', 2, 264), ('promotion', 3, 9467), ('mixed', 1, 44), ('mixed', 2, 1486)) v(name, depth, nodes)",
@@ -170,6 +177,22 @@ SQL: dict[str, str] = {
         f"{_FIRST}, m AS (SELECT word, i, min(legal.uci) AS uci FROM p JOIN legal ON legal.piece = p.piece AND legal.goal = p.goal AND p.f IN ('', legal.f) AND p.r IN ('', legal.r) WHERE p.sign NOT IN ('x', ':') AND NOT (p.piece = '' AND p.r <> '' AND p.f = '') GROUP BY word, i HAVING count(*) = 1) "
         "SELECT word, arg_min(uci, i) AS uci FROM m GROUP BY word"
     ),
+    "doc_move_rows": (
+        f"WITH lines0 AS (SELECT doc_id AS note_id, generate_subscripts(l, 1) AS line_no, regexp_replace(unnest(l), '^[ |]*(\\d{{1,3}})[ |.\\t]+(\\S)', '\\1. \\2') AS line FROM (SELECT doc_id, string_split(replace(replace(text, chr(13)||chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS l FROM documents WHERE text IS NOT NULL)), "
+        f"lines AS (SELECT * FROM lines0 WHERE regexp_matches(line, '^\\s*\\d{{1,3}}(\\.|…)')), {_w._TOKENS}, {_w._ROWS}, a AS (SELECT note_id AS doc_id, count(*) FILTER (is_row) AS rows, count(*) FILTER (number IS NOT NULL) AS numbered FROM tr GROUP BY note_id) SELECT doc_id, rows, numbered, rows >= 5 AND rows >= 0.3 * numbered AS is_table FROM a WHERE rows > 0"
+    ),
+    "note_heads": "SELECT book_id, count(*) AS heads, count(DISTINCT page) AS pages FROM ("
+    + _w._heads_sql("lines AS (SELECT doc_id, book_id, page, generate_subscripts(l, 1) AS line_no, unnest(l) AS line FROM (SELECT DISTINCT hash(raw) AS doc_id, book AS book_id, coalesce(source_page, 0) AS page, string_split(replace(replace(raw, chr(13)||chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS l FROM joined_notation WHERE raw IS NOT NULL AND book IS NOT NULL))")
+    + ") GROUP BY book_id",
+    "note_defects": "SELECT book_id, page, orphans, mixed, backtracks FROM ("
+    + _w._defects_sql("notes AS (SELECT DISTINCT CAST(note_id AS VARCHAR) AS book_id, coalesce(source_page, 0) AS page, raw FROM joined_notation WHERE raw IS NOT NULL), lines AS (SELECT {'book_id': book_id, 'page': page} AS doc_id, generate_subscripts(l, 1) AS line_no, unnest(l) AS line FROM (SELECT book_id, page, string_split(replace(replace(raw, chr(13)||chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS l FROM notes))").replace("SELECT q.doc_id, coalesce", "SELECT q.doc_id.book_id AS book_id, q.doc_id.page AS page, coalesce")
+    + ") WHERE orphans + mixed + backtracks > 0",
+    "template_consensus": f"WITH {_CONSENSUS} SELECT label, list(w ORDER BY i) AS words FROM words GROUP BY label",
+    "template_classify": (
+        f"WITH {_CONSENSUS}, m AS (SELECT label, CAST(string_agg(b, '' ORDER BY pos) AS BIT) AS y FROM major GROUP BY label), t AS (SELECT template_id, any_value(label) AS truth, any_value(CAST(unhex({_HEX}) AS BIT)) AS x FROM coordinates WHERE split <> 'train' AND label IS NOT NULL AND regexp_full_match({_HEX}, '[0-9a-f]{{256}}') GROUP BY template_id), "
+        "s AS (SELECT template_id, truth, m.label, 2 * bit_count(x & y) / greatest(bit_count(x) + bit_count(y), 1) AS d FROM t CROSS JOIN m), r AS (SELECT *, row_number() OVER w AS k, lead(d) OVER w AS nx FROM s WINDOW w AS (PARTITION BY template_id ORDER BY d DESC, label)), v AS (SELECT truth, CASE WHEN d >= 0.86 AND (nx IS NULL OR d - nx >= 0.07) THEN label END AS label FROM r WHERE k = 1) "
+        "SELECT CASE WHEN label IS NULL THEN 'none' WHEN label = truth THEN 'right' ELSE 'wrong' END AS verdict, count(*) AS n FROM v GROUP BY 1"
+    ),
     "word_repairs": (
         f"WITH RECURSIVE t AS (SELECT DISTINCT text, expected FROM bold_source_words WHERE text IS NOT NULL AND expected IS NOT NULL), s AS (SELECT text, expected, string_split({_w._shape_sql('text')}, '') AS a, string_split({_w._shape_sql('expected')}, '') AS b FROM t), "
         "z AS (SELECT *, len(b) AS m, list_transform(range(0, len(b) + 1), lambda j: coalesce(list_sum(list_transform(b[1:j], lambda x: CASE WHEN x = 'f' THEN 0.5 ELSE 1.0 END)), 0.0)) AS c FROM s), "

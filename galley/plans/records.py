@@ -89,7 +89,23 @@ _CHAR_FIELDS = (
     "SELECT word_id, record_no, CAST(char_no AS INT) AS char_no, c.char AS char, c.similarity AS similarity FROM (SELECT word_id, record_no, generate_subscripts(r.characters, 1) AS char_no, unnest(r.characters) AS c FROM s WHERE r IS NOT NULL) WHERE c IS NOT NULL "
     "UNION ALL SELECT word_id, record_no, x.no, x.item ->> '$.char', TRY_CAST(x.item ->> '$.similarity' AS DOUBLE) FROM h WHERE json_type(x.item) = 'OBJECT'"
 )
+def _numbers(b: str) -> str:
+    """The numbers of a JSON box: a list, an object of corners, a text of numbers."""
+    return (
+        f"CASE json_type({b}) WHEN 'ARRAY' THEN list_transform(range(0, CAST(json_array_length({b}) AS BIGINT)), lambda i: TRY_CAST({b} ->> ('$[' || i || ']') AS DOUBLE)) "
+        f"WHEN 'OBJECT' THEN CASE WHEN {b} ->> '$.x0' IS NOT NULL OR {b} ->> '$.x1' IS NOT NULL THEN [TRY_CAST({b} ->> '$.x0' AS DOUBLE), TRY_CAST({b} ->> '$.y0' AS DOUBLE), TRY_CAST({b} ->> '$.x1' AS DOUBLE), TRY_CAST({b} ->> '$.y1' AS DOUBLE)] END "
+        f"WHEN 'VARCHAR' THEN list_transform(regexp_split_to_array(trim({b} ->> '$'), '[\\s,;]+'), lambda x: TRY_CAST(x AS DOUBLE)) END"
+    )
+
+
+_BOXES = (
+    "b AS (SELECT word_id, 'records' AS parent, record_no, CAST(NULL AS INT) AS char_no, r.bbox AS v FROM s WHERE r IS NOT NULL "
+    "UNION ALL SELECT word_id, 'characters', record_no, CAST(char_no AS INT), c.bbox FROM (SELECT word_id, record_no, generate_subscripts(r.characters, 1) AS char_no, unnest(r.characters) AS c FROM s WHERE r IS NOT NULL) WHERE c IS NOT NULL "
+    f"UNION ALL SELECT word_id, 'records', record_no, NULL, {_numbers('t')} FROM (SELECT word_id, record_no, json_extract(item, '$.bbox') AS t FROM o) "
+    f"UNION ALL SELECT word_id, 'characters', record_no, char_no, {_numbers('t')} FROM (SELECT word_id, record_no, x.no AS char_no, json_extract(x.item, '$.bbox') AS t FROM h WHERE json_type(x.item) = 'OBJECT'))"
+)
 SQL: dict[str, str] = {
+    "p2_boxes": f"WITH {_ONCE}, {_STORED}, {_PAYLOAD}, {_BOXES} SELECT word_id, parent, record_no, char_no, CAST(generate_subscripts(v, 1) AS INT) AS place, unnest(v) AS value FROM b WHERE v IS NOT NULL",
     "p2_records": f"WITH {_ONCE}, {_STORED}, {_PAYLOAD} {_RECORDS}",
     "p2_characters": f"WITH {_ONCE}, {_STORED}, {_PAYLOAD} {_CHAR_FIELDS}",
     "p2_found": f"WITH {_ONCE}, {_STORED}, {_PAYLOAD} {_CHARS}",

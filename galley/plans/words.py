@@ -351,9 +351,14 @@ def _kept(k: str) -> str:
 
 
 
-SQL = {
-    "note_running_heads": (
-        f"WITH {_PAGE_LINES}, top AS (SELECT doc_id, book_id, page, line_no, line, trim(line, '0123456789–—- ' || chr(9)) AS key, {_LW} AS w FROM lines WHERE line_no <= 2 AND trim(line, ' ') <> ''), "
+def _defects_sql(lines: str) -> str:
+    return f"WITH {lines}, {_EVENTS}, o AS (SELECT doc_id, count(*) FILTER (NOT game) AS orphans FROM b GROUP BY doc_id), q AS (SELECT doc_id, count(*) FILTER (len(list_filter(ws, lambda x: regexp_full_match(x, '\\d{{1,3}}\\.'))) >= 2 AND len(list_filter(ws, lambda x: regexp_matches(x, '{_MOVE}'))) >= 3) AS mixed FROM x GROUP BY doc_id), s AS (SELECT doc_id, line_no, ws, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS sec FROM x), r AS (SELECT doc_id, sec, line_no, CAST(regexp_extract(ws[1], '\\d+') AS INT) AS n FROM s WHERE regexp_matches(ws[1], '^\\d{{1,3}}\\.$') AND len(list_filter(ws[2:], lambda x: regexp_matches(x, '{_MOVE}'))) > 0 AND len(list_filter(ws[2:], lambda x: NOT regexp_full_match(x, '(?:{_MOVE})[.!?…]*') AND NOT regexp_full_match(x, '[.!?…—–-]+'))) = 0), t AS (SELECT doc_id, n, lag(n) OVER (PARTITION BY doc_id, sec ORDER BY line_no) AS p FROM r), k AS (SELECT doc_id, count(*) FILTER (n < p - 1) AS backtracks FROM t GROUP BY doc_id) SELECT q.doc_id, coalesce(orphans, 0) AS orphans, mixed, coalesce(backtracks, 0) AS backtracks FROM q LEFT JOIN o USING (doc_id) LEFT JOIN k USING (doc_id)"
+
+
+def _heads_sql(lines: str) -> str:
+    """Running heads of ``lines`` (doc_id, book_id, page, line_no, line)."""
+    return (
+        f"WITH {lines}, top AS (SELECT doc_id, book_id, page, line_no, line, trim(line, '0123456789–—- ' || chr(9)) AS key, {_LW} AS w FROM lines WHERE line_no <= 2 AND trim(line, ' ') <> ''), "
         "often AS (SELECT book_id, key FROM top WHERE key <> '' GROUP BY 1, 2 HAVING count(DISTINCT page) >= 2), "
         f"r AS (SELECT top.*, {_SPLIT.format('key')} AS ws FROM top), c AS (SELECT book_id, page, line_no, key FROM r WHERE (EXISTS (SELECT 1 FROM often o WHERE o.book_id = r.book_id AND o.key = r.key) AND len(ws) >= 2) OR {_IS_CHAPTER}), "
         f"k AS (SELECT book_id, page, line_no FROM c WHERE NOT {_kept('key')}), "
@@ -362,8 +367,12 @@ SQL = {
         f"m AS (SELECT * FROM m1 WHERE len({_SPLIT.format('title')}) >= 2 AND NOT {_is_players('title')} AND NOT regexp_matches(title, '\\d') AND NOT {_OUTCOME.format('title')}), "
         "g AS (SELECT book_id, page, line_no, page - lag(page) OVER v AS b, lead(page) OVER v - page AS a FROM m WINDOW v AS (PARTITION BY book_id, counter - page ORDER BY page)) "
         "SELECT DISTINCT book_id, page, CAST(line_no AS INT) AS line_no FROM (SELECT * FROM k UNION ALL SELECT book_id, page, line_no FROM g WHERE b BETWEEN 1 AND 2 OR a BETWEEN 1 AND 2)"
-    ),
-    "doc_defects": f"WITH {_LINES}, {_EVENTS}, o AS (SELECT doc_id, count(*) FILTER (NOT game) AS orphans FROM b GROUP BY doc_id), q AS (SELECT doc_id, count(*) FILTER (len(list_filter(ws, lambda x: regexp_full_match(x, '\\d{{1,3}}\\.'))) >= 2 AND len(list_filter(ws, lambda x: regexp_matches(x, '{_MOVE}'))) >= 3) AS mixed FROM x GROUP BY doc_id), s AS (SELECT doc_id, line_no, ws, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS sec FROM x), r AS (SELECT doc_id, sec, line_no, CAST(regexp_extract(ws[1], '\\d+') AS INT) AS n FROM s WHERE regexp_matches(ws[1], '^\\d{{1,3}}\\.$') AND len(list_filter(ws[2:], lambda x: regexp_matches(x, '{_MOVE}'))) > 0 AND len(list_filter(ws[2:], lambda x: NOT regexp_full_match(x, '(?:{_MOVE})[.!?…]*') AND NOT regexp_full_match(x, '[.!?…—–-]+'))) = 0), t AS (SELECT doc_id, n, lag(n) OVER (PARTITION BY doc_id, sec ORDER BY line_no) AS p FROM r), k AS (SELECT doc_id, count(*) FILTER (n < p - 1) AS backtracks FROM t GROUP BY doc_id) SELECT q.doc_id, coalesce(orphans, 0) AS orphans, mixed, coalesce(backtracks, 0) AS backtracks FROM q LEFT JOIN o USING (doc_id) LEFT JOIN k USING (doc_id)",
+        )
+
+
+SQL = {
+    "note_running_heads": _heads_sql(_PAGE_LINES),
+    "doc_defects": _defects_sql(_LINES),
     "doc_sections": f"WITH {_LINES}, {_EVENTS}, e AS (SELECT y.doc_id, y.line_no, coalesce(b.game, false) AS game, y.chapter OR (NOT head AND NOT {_is_players('y.line')} AND NOT chapter AND {_CREDIT}) AS ends, NOT head AND NOT {_is_players('y.line')} AND NOT chapter AND NOT {_CREDIT} AND {_DRAW} AS draw, CASE WHEN b.game THEN CAST(regexp_extract({_TRIM.replace('line', 'y.line')}, '{_HEADING}', 1) AS INT) END AS number FROM y LEFT JOIN b ON b.doc_id = y.doc_id AND b.line_no = y.line_no) SELECT doc_id, count(*) FILTER (game OR ends) AS sections, count(*) FILTER (game) AS games, count(*) FILTER (draw) AS results, CAST(sum(number) AS BIGINT) AS numbers FROM e GROUP BY doc_id",
     "word_clean_forms": f"WITH {_WORDS} SELECT w, {_plain_sql('w')} AS plain, {_clean_sql('w')} AS clean, regexp_replace(w, '([♔-♟]) +([a-h]?[1-8]?x?[a-h][1-8])', '\\1\\2', 'g') AS joined FROM ws",
     "note_clean_text": f"WITH {_RAW} SELECT note_id, md5({_clean_sql('text')}) AS clean, md5({_plain_sql('text')}) AS plain FROM notes",

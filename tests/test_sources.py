@@ -112,3 +112,12 @@ def test_streams(spark, tmp_path):
     incremental.run(stream, lambda d, i: seen.append(d.count()), "once").awaitTermination()
     incremental.run(stream, lambda d, i: seen.append(d.count()), "once").awaitTermination()
     assert sum(seen) == 5
+
+
+def test_classify_counts_the_sign_bit(spark):
+    from galley.functions import raster
+
+    t = spark.createDataFrame([("a", [-1] * 16), ("b", [1] * 16)], "label string, words array<bigint>")
+    g = spark.createDataFrame([(1, [-1] * 15 + [-2]), (2, [1] * 15 + [3])], "id int, words array<bigint>")
+    assert rows(raster.classify(g, t, ["id"]), "id", "label") == [(1, "a"), (2, "b")]
+    assert rows(raster.classify(g, t.limit(0), ["id"]), "id", "label") == [(1, None), (2, None)]
