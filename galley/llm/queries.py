@@ -144,11 +144,17 @@ def p8_stats(spark: SparkSession, d: str) -> DataFrame:
     return quality.statistics(table(spark, d, "documents"), table(spark, d, "common_words"))
 
 
+def p8_figures(spark: SparkSession, d: str) -> DataFrame:
+    """The figures alone, which SQL can say too."""
+    figures = ("mean_word_length", "symbol_share", "end_share", "common_share")
+    return p8_stats(spark, d).select("doc_id", "n_words", *(F.round(c, 9).alias(c) for c in figures))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_stats(spark, d).where(F.col("kind") != "prose").select("doc_id", "kind")
 
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_splits": p3_splits, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p5_forms": p5_forms, "p6_ids": p6_ids, "p7_found": p7_found, "p7_pack": p7_pack, "p7_check": p7_check, "p8_found": p8_found, "p8_stats": p8_stats}
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_splits": p3_splits, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p5_forms": p5_forms, "p6_ids": p6_ids, "p7_found": p7_found, "p7_pack": p7_pack, "p7_check": p7_check, "p8_found": p8_found, "p8_stats": p8_stats, "p8_figures": p8_figures}
 _FOLD = "regexp_replace(lower(translate({}, '" + bookkeys._FROM + "', '" + bookkeys._TO + "')), '[\u0300-\u036f]', '', 'g')"
 
 
@@ -183,7 +189,19 @@ _GROUPS = (
     "edge AS (SELECT DISTINCT a.book_id AS a, b.book_id AS b FROM entity a JOIN entity b USING (e)), reach AS (SELECT book_id AS a, book_id AS b FROM books UNION SELECT r.a, e.b FROM reach r JOIN edge e ON e.a = r.b), grp AS (SELECT a AS book_id, min(b) AS group_book FROM reach GROUP BY a), "
     "own AS (SELECT rec.src, rec.rec_id, rec.split, grp.group_book FROM rec JOIN meant USING (book) JOIN grp USING (book_id))"
 )
+_WHITE = "\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+_UNSEEN = " \\t\\v\\f\\x{0}\\x1c-\\x1f\\x{85}\\x{a0}\\x{ad}\\x{1680}\\x{2000}-\\x{200f}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{2060}\\x{3000}\\x{feff}"
+_PRINT = "\\p{Z}\\t\\r\\v\\f"
+_FIGURES = (
+    "l AS (SELECT doc_id, unnest(string_split(replace(text, chr(13), chr(10)), chr(10))) AS x FROM documents WHERE text IS NOT NULL), k AS (SELECT doc_id, x, "
+    f"list_filter(string_split_regex(x, '[{_WHITE}]+'), lambda w: w <> '') AS ws, regexp_replace(x, '[{_WHITE}]+$', '') AS e FROM l WHERE NOT regexp_full_match(x, '[{_WHITE}]*') AND NOT regexp_full_match(x, '[{_UNSEEN}]*')), "
+    "kn AS (SELECT list(DISTINCT word) AS k FROM common_words WHERE word IS NOT NULL), "
+    f"a AS (SELECT doc_id, sum(len(ws)) AS n, sum(list_sum(list_transform(ws, lambda w: length(w)))) AS c, sum(length(regexp_replace(x, '[{_PRINT}]', '', 'g'))) AS p, "
+    f"sum(length(regexp_replace(x, '[\\p{{L}}\\p{{Nd}}{_PRINT}.!?…,:''\"()–—«»“”„‘’;♔-♟½¼¾-]', '', 'g'))) AS s, count(*) AS m, "
+    "count(*) FILTER (regexp_matches(e, '[.!?…:;,]$') OR regexp_matches(e, '[.!?…][\"''»”)\\]]*$')) AS ends, sum(len(list_filter(ws, lambda w: list_contains(k, lower(trim(w, '.,;:!?\"''()«»')))))) AS h FROM k JOIN kn ON true GROUP BY doc_id)"
+)
 SQL: dict[str, str] = {
+    "p8_figures": f"WITH {_FIGURES} SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, round(c / n, 9) AS mean_word_length, round(s / p, 9) AS symbol_share, round(ends / m, 9) AS end_share, round(h / n, 9) AS common_share FROM documents d LEFT JOIN a USING (doc_id)",
     "p3_found": f"{_GROUPS}, spread AS (SELECT group_book FROM own GROUP BY 1 HAVING min(split) <> max(split)) SELECT DISTINCT src, rec_id, group_book FROM own JOIN spread USING (group_book)",
     # a packing places every text that has tokens whole, overfills no bin and wastes little
     "p7_check": "SELECT container, count(*) FILTER (text <> '') AS placed, count(*) FILTER (text IS NULL OR text = '') AS without_size, CAST(0 AS BIGINT) AS wrong, CAST(0 AS BIGINT) AS overfull, true AS dense FROM documents, containers GROUP BY container",
