@@ -14,8 +14,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets the dynamic programme may use.
-BUCKETS = 64
+#: Buckets the dynamic programme may use: the fill grows with them, 97.5 % with 64 and 99.7 % with 512 for containers of 4,096.
+BUCKETS = 512
 #: Items that one task ranks, about; the number of salts follows the count.
 RANKED = 100_000
 
@@ -113,14 +113,13 @@ def pack(sizes: DataFrame, capacity: int, id_col: str = "doc_id", size_col: str
     size, count = (np.array(x, np.int64) for x in zip(*hist))
     bounds = optimal_buckets(size, count, buckets)
     of = np.searchsorted(bounds, size)
-    rows = plan(bounds, np.bincount(of, weights=count, minlength=len(bounds)).astype(np.int64), capacity)
+    held = np.bincount(of, weights=count, minlength=len(bounds)).astype(np.int64)
+    rows = plan(bounds, held, capacity)
     table = F.broadcast(spark.createDataFrame(rows, "bucket int, from_rank bigint, to_rank bigint, first_bin bigint, per_bin bigint, slot int"))
-    salts = max(1, -(-int(count.max()) // RANKED), -(-int(count.sum()) // (RANKED * len(bounds))))
-    edges = [int(b) for b in bounds]
-    step = F.lit(0)
-    for b in edges[:-1]:
-        step = step + (F.col("size") > b).cast("int")
-    salted = pieces.withColumn("bucket", step).withColumn("salt", F.pmod(F.xxhash64("id", "piece"), F.lit(salts)).cast("int"))
+    salts = max(1, -(-int(held.max()) // RANKED))
+    # as many rows as the histogram
+    which = F.broadcast(spark.createDataFrame([(int(x), int(k)) for x, k in zip(size, of)], "size int, bucket int"))
+    salted = pieces.join(which, "size").withColumn("salt", F.pmod(F.xxhash64("id", "piece"), F.lit(salts)).cast("int"))
     # ranks over all salts: counts of the groups before plus the rank within the group
     before = salted.groupBy("bucket", "salt").count().withColumn("before", F.coalesce(F.sum("count").over(Window.partitionBy("bucket").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
     ranked = salted.withColumn("own", F.row_number().over(Window.partitionBy("bucket", "salt").orderBy(F.desc("size"), "id", "piece")) - 1).join(before, ["bucket", "salt"]).withColumn("rank", F.col("own") + F.col("before"))
