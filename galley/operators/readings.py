@@ -113,11 +113,15 @@ def source_readings(targets: DataFrame, source: DataFrame) -> DataFrame:
     """(book, page, ord, side, reading, conflict): a rank that the first reading left unclear, from the one row of the source
     with the same page, number and other move.  Targets: (book, page, ord, number, side 0|1, word, peer, readings).
     ``conflict`` tells that an earlier clear reading says something else; then nothing is to be replaced."""
-    t = targets.withColumn("peer_code", N.move_code(F.col("peer")))
     s = source.where(F.size("words") == 2).select(*ON, "number", "words")
-    hit = t.join(s, [*ON, "number"]).withColumn("other", F.element_at("words", F.when(F.col("side") == 0, 2).otherwise(1))).withColumn("reading", F.element_at("words", F.col("side") + 1)).where(N.move_code(F.col("other")) == F.col("peer_code"))
-    one = M.only_one(hit, [*ON, "ord", "side"])
-    code, old = N.move_code(F.col("reading")), N.move_code(F.col("word"))
+    both = targets.join(s, [*ON, "number"]).where("ord is not null and side is not null").withColumn("reading", F.element_at("words", F.col("side") + 1))
+    other = F.element_at("words", F.when(F.col("side") == 0, 2).otherwise(1))
+    # a shape is costly, and as a key or in a filter it would be told again for each comparison of a sort and each use: it is
+    # a column of the rows that met, and what is chosen is chosen behind the count
+    same = both.withColumn("same", N.move_code(other) == N.move_code(F.col("peer")))
+    row = F.struct("readings", "reading", N.move_code(F.col("reading")).alias("code"), N.move_code(F.col("word")).alias("old"))
+    one = same.groupBy(*ON, "ord", "side").agg(F.count_if("same").alias("n"), F.first(F.when(F.col("same"), row), True).alias("row")).where("n = 1").select(*ON, "ord", "side", "row.*")
+    code, old = F.col("code"), F.col("old")
     p = r"^([a-h])([2-7])-([a-h])(.)$"
     ranks = F.create_map(*(F.lit(x) for kv in UNCLEAR_RANK.items() for x in kv))
     fits = code.rlike(r"^([a-h])[2-7]-\1[1-8]$") & old.rlike(r"^([a-h])[2-7]-\1[bd]$") & (F.regexp_extract(code, p, 1) == F.regexp_extract(old, p, 1)) & (F.regexp_extract(code, p, 2) == F.regexp_extract(old, p, 2)) & F.try_element_at(ranks, F.regexp_extract(old, p, 4)).contains(F.regexp_extract(code, p, 4))

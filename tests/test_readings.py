@@ -113,3 +113,12 @@ def test_language_headers_layout(spark):
     b = spark.createDataFrame([(1, 0.0, 10.0, 5.0, 20.0), (1, 0.0, 210.0, 5.0, 220.0), (1, 0.0, 900.0, 5.0, 910.0)], "page int, x0 double, y0 double, x1 double, y1 double")
     reg = spark.createDataFrame([(1, 0.0, 100.0, 0.0, 0.0), (1, 200.0, 300.0, 50.0, -200.0)], "page int, top double, bottom double, dx double, dy double")
     assert rows(Q.restored(b, reg, ["page"])) == [(1, 0.0, 10.0, 5.0, 20.0), (1, 50.0, 10.0, 55.0, 20.0)]
+
+
+def test_source_readings_keys_are_plain(spark):
+    """No shape is told for a key: in a sort it would be told again for each comparison."""
+    t = spark.createDataFrame([("b", 1, 5, 12, "h7-hb", "e2-e4", None)] * 2 + [("b", 1, None, 12, "h7-hb", "e2-e4", None), ("b", 1, 6, 12, "h7-hb", "e2-e4", None)], "book string, page int, ord int, number int, word string, peer string, readings array<string>").selectExpr("*", "1 AS side")
+    found = Q.source_readings(t, table(spark, [(12, "e2-e4 h7-h5")]))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "regexp" in line and any(x in line for x in ("Join [", "Join(", "Exchange ", "Sort ["))]
+    assert rows(found, "ord", "reading", "conflict") == [(6, "h7-h5", False)]  # a target that comes twice has no one row
