@@ -46,6 +46,24 @@ def range_join(points: DataFrame, ranges: DataFrame, on: list[str], point: str,
     return p.join(r, [*on, "__bin"]).where(F.col(point).between(F.col(low), F.col(high))).drop("__bin")
 
 
+def one_apart(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys..., pairs): how many pairs of rows of equal keys have strings one character changed, lost or added apart.
+    No pair is made: values are counted, and two of them are one change apart if they agree but for the sign at one place,
+    one loss apart if the longer less one sign is the shorter."""
+    v = F.col(value)
+    at = F.filter(F.sequence(F.lit(0), F.length(v)), lambda i: i > 0)
+    less = lambda i: F.concat(F.substring(v, F.lit(1), i - 1), F.substring(v, i + 1, F.length(v)))
+    form = lambda at, rest, own: F.struct(at.alias("at"), rest.alias("rest"), F.lit(own).alias("own"))
+    shorter = F.transform(F.array_distinct(F.transform(at, less)), lambda x: form(F.lit(0), x, False))
+    forms = F.concat(F.transform(at, lambda i: form(i, less(i), True)), F.array(form(F.lit(0), v, True)), shorter)
+    counts = df.groupBy(*keys, value).agg(F.count("*").alias("n"))
+    met = counts.select(*keys, "n", F.explode(forms).alias("f")).select(*keys, "n", "f.*").groupBy(*keys, "at", "rest").agg(
+        F.sum(F.when(F.col("own"), F.col("n"))).alias("own"), F.sum(F.when(~F.col("own"), F.col("n"))).alias("longer"), F.sum(F.col("n") * F.col("n")).alias("same")
+    )
+    pairs = F.when(F.col("at") == 0, F.col("own") * F.col("longer")).otherwise(F.expr("(own * own - same) div 2"))
+    return met.groupBy(*keys).agg(F.sum(pairs).alias("pairs")).where("pairs > 0")
+
+
 def box_overlap(a: str, b: str) -> Column:
     """Common area of two boxes (structs x0, y0, x1, y1) over the area of the first."""
     g = lambda s, f: F.col(f"{s}.{f}")

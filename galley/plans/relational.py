@@ -92,10 +92,13 @@ def cust_unique_match(spark, d):
 
 
 def part_fuzzy_numbers(spark, d):
-    """Parts of one brand and type whose sizes are one digit apart."""
-    p = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", F.col("p_size").cast("string").alias("s"))
-    a, b = p.select("p_brand", "p_type", F.col("p_partkey").alias("a"), F.col("s").alias("sa")), p.select("p_brand", "p_type", F.col("p_partkey").alias("b"), F.col("s").alias("sb"))
-    return a.join(b, ["p_brand", "p_type"]).where("a < b and levenshtein(sa, sb) = 1 and abs(length(sa) - length(sb)) <= 1").groupBy("p_brand").agg(F.count("*").alias("pairs"))
+    """Parts of one brand and type whose sizes are one digit apart, counted from how often each size occurs; parts of one
+    key are no pair."""
+    p = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", F.col("p_size").cast("string").alias("s")).na.drop()
+    key = ["p_brand", "p_type", "p_partkey"]
+    again = p.join(p.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1"), key, "left_semi")
+    all_, same = M.one_apart(p, key[:2], "s"), M.one_apart(again, key, "s")
+    return all_.select("p_brand", "pairs").unionByName(same.select("p_brand", (-F.col("pairs")).alias("pairs"))).groupBy("p_brand").agg(F.sum("pairs").alias("pairs")).where("pairs > 0")
 
 
 def tree_frontier(spark, d):

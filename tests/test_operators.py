@@ -1,9 +1,12 @@
+import random
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from galley.operators import boards, evaluation, matching as M, nested, pages as P, report, sequences as S
 from galley.operators.games import Fold, games_of, issues_of, moves_of, parse_games
+from galley.plans import relational
 
 
 def test_unique_best(spark):
@@ -304,3 +307,19 @@ def test_payload_records(spark):
     assert rows(got["characters"].where("word_id = 23"), "record_no", "char_no") == sorted([(999999999, 1), (999999999, 3), (7, 0), (7, 2000000000)], key=repr)
     empty = nested.shared_inline(nested.word_records(df.limit(0)), "word_id", "words")
     assert all(x.count() == 0 for x in empty.values())
+
+
+def test_one_apart(spark, tmp_path):
+    """Sizes one digit apart are counted from how often they occur; no pair is made, and parts of one key are none."""
+    rnd = random.Random(5)
+    apart = lambda a, b: a != b and (len(a) == len(b) and sum(x != y for x, y in zip(a, b)) == 1 or abs(len(a) - len(b)) == 1 and any(max(a, b, key=len)[:i] + max(a, b, key=len)[i + 1 :] == min(a, b, key=len) for i in range(5)))
+    parts = [(rnd.randint(1, 300), f"B{rnd.randint(1, 3)}", rnd.choice("xy"), rnd.choice([1, 2, 11, 12, 21, 22, 112, 121, 122, 7, -7, None])) for _ in range(400)] + [(None, "B1", "x", 1), (1, None, "x", 1), (1, "B1", None, 1), (900, "B9", "x", 1), (900, "B9", "x", 2)]
+    spark.createDataFrame(parts, "p_partkey bigint, p_brand string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    want = {}
+    for i, b, t, s in parts:
+        for j, c, u, r in parts:
+            if None not in (i, b, t, s, j, c, u, r) and i < j and (b, t) == (c, u) and apart(str(s), str(r)):
+                want[b] = want.get(b, 0) + 1
+    found = relational.part_fuzzy_numbers(spark, str(tmp_path))
+    assert "levenshtein" not in found._jdf.queryExecution().executedPlan().toString()
+    assert rows(found) == sorted(want.items()) and "B9" not in want
