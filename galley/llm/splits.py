@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..session import written
 
-#: A node with more links than this is hot: its row of minima is copied for each salt.
+#: A list of at most so many links is worked off in one task; in a longer one a node with more links than this is hot: its
+#: row of minima is copied for each salt.
 HOT = 100_000
 SALTS = 64
 ROUNDS = 60
@@ -18,11 +23,8 @@ def _minima(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("degree")).select("u", F.least("u", "low").alias("m"), "degree")
 
 
-def _spread(edges: DataFrame, minima: DataFrame, hot: bool) -> DataFrame:
-    """edges joined with their u's minimum.  If a node may be hot, rows of hot nodes are spread over SALTS keys, so no node
-    is one task."""
-    if not hot:
-        return edges.join(minima.select("u", "m"), "u").select("u", "v", "m")
+def _spread(edges: DataFrame, minima: DataFrame) -> DataFrame:
+    """edges joined with their u's minimum.  Rows of hot nodes are spread over SALTS keys, so no node is one task."""
     salts = F.when(F.col("degree") > HOT, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     right = minima.select("u", "m", (F.col("degree") > HOT).alias("hot"), F.explode(salts).alias("salt"))
     many = minima.where(F.col("degree") > HOT).select(F.col("u").alias("h"))
@@ -36,32 +38,56 @@ def _mark(links: DataFrame) -> tuple[int, int | None]:
     return found["n"], found["h"]
 
 
+def _roots(links: DataFrame) -> DataFrame:
+    """(u, component) of every node of at most HOT links, by union and find in one task."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up, kind = {}, None
+
+        def root(x):
+            while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for b in batches:
+            kind = b.schema.field("u").type
+            for x, y in zip(b.column("u").to_pylist(), b.column("v").to_pylist()):
+                low, high = sorted((root(x), root(y)))
+                up[high] = low
+        if up:
+            yield pa.RecordBatch.from_arrays([pa.array(list(up), kind), pa.array([root(x) for x in list(up)], kind)], ["u", "component"])
+
+    kind = links.schema["u"].dataType
+    return links.coalesce(1).mapInArrow(find, StructType([StructField("u", kind), StructField("component", kind)]))
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): the smallest node of each connected component, for every node of ``links``, by alternating
-    large-star and small-star until no link changes.  Links with a NULL end and loops say nothing beyond the node's
-    being there; repeated links count once.  Each round is written to the shared folder; only counts come to the
-    driver.  A list of at most HOT links has no hot node, so salting is looked into beyond that only."""
-    ends = links.select(F.col(a).alias("a"), F.col(b).alias("b"))
+    """(node, component): the smallest node of each connected component, for every node of ``links``.  A list of at most HOT
+    links is worked off in one task; a longer one by alternating large-star and small-star until it is that short or no link
+    changes.  Links with a NULL end and loops say nothing beyond the node's being there; repeated links count once.  The
+    list and each round are written to the shared folder; only counts come to the driver."""
+    ends = written(links.select(F.col(a).alias("a"), F.col(b).alias("b")), "ends")
     nodes = ends.select(F.col("a").alias("node")).union(ends.select("b")).where("node is not null").distinct()
-    now = written(ends.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    mark = _mark(now)
+    now = ends.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    mark, before = _mark(now), None
+    if mark[0] > HOT:
+        now = written(now, "links")
     for _ in range(ROUNDS):
-        hot = mark[0] > HOT
+        if mark[0] <= HOT or mark == before:
+            break
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: every neighbour above u is linked with the smallest of u and its neighbours
-        large = _spread(both, _minima(both), hot).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        if hot:
-            large = written(large, "large")
+        large = written(_spread(both, _minima(both)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         # small star: u and its neighbours below are linked with the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
-        moved = _spread(large, low, hot).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = _spread(large, low).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = written(low.select("u", F.col("m").alias("v")).union(moved).distinct(), "small")
         before, mark = mark, _mark(now)
-        if mark == before:
-            break
     else:
-        raise RuntimeError(f"no fixed point after {ROUNDS} rounds")
-    roots = now.groupBy("u").agg(F.min("v").alias("component"))
+        if mark[0] > HOT and mark != before:
+            raise RuntimeError(f"no fixed point after {ROUNDS} rounds")
+    roots = _roots(now) if mark[0] <= HOT else now.groupBy("u").agg(F.min("v").alias("component"))
     return nodes.join(roots, nodes["node"] == roots["u"], "left").select("node", F.coalesce("component", "node").alias("component"))
 
 

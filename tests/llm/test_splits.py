@@ -36,6 +36,21 @@ def test_components(spark, monkeypatch, seed, hot):
     assert got == union_find(links)
 
 
+def test_short_lists_take_no_rounds(spark, monkeypatch):
+    """A list without hot nodes is one task and one write, however long its chains: each round takes driver memory."""
+    names, write = [], splits.written
+    monkeypatch.setattr(splits, "written", lambda df, name: (names.append(name), write(df, name))[1])
+    links = [(i, i + 1) for i in range(300)] + [(1000, None), (2000, 2000), (3001, 3000), (3000, 3001)]
+    got = {r["node"]: r["component"] for r in splits.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert got == union_find(links) and names == ["ends"]
+    # a longer list comes to one task as soon as rounds have made it short, and gives the same
+    names.clear()
+    monkeypatch.setattr(splits, "HOT", 40)
+    links = [(i, j) for i in range(10) for j in range(i, 10)]
+    got = {r["node"]: r["component"] for r in splits.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert got == union_find(links) and "small" in names and names.count("small") == 1
+
+
 def test_no_links(spark):
     assert splits.components(spark.createDataFrame([], "a string, b string")).count() == 0
 
